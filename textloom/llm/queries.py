@@ -1,8 +1,9 @@
 """The subpackage's queries and their SQL."""
 
-from textloom.llm import ann, bpe, exact_dedup, license_scan, mixing, ngram_jaccard, quality, sharding, url_filter
+from textloom.llm import ann, bpe, exact_dedup, license_scan, mixing, ngram_jaccard, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_quality": quality.op2_quality,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
