@@ -35,8 +35,12 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256. hashed: the content hash, another one in tests of collisions."""
+#: The columns that `mark` adds.
+OWN = ("keep_id", "group_size", "kept", "text_sha256")
+
+
+def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = content_hash, own: tuple[str, ...] = OWN) -> DataFrame:
+    """docs with keep_id, group_size, kept and text_sha256, or as `own` names them. hashed: the content hash, another one in tests of collisions."""
     text = normalised(F.col(text_col))
     texts = docs.select(hashed(text).alias("__key"), text.alias("__text"), F.col(id_col).alias("__id")).groupBy("__key", "__text").agg(F.min("__id").alias("__keep"), F.count("*").alias("__size"))
     groups = (
@@ -45,20 +49,18 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed
         .agg(F.min("__keep").alias("__keep"), F.sum("__size").alias("__size"), F.count("*").alias("__texts"))
         .select("__key", "__sha", "__keep", F.when(F.col("__texts") == 1, F.col("__size")).otherwise(F.raise_error(F.lit("two texts share both digests")).cast("long")).alias("__size"))
     )
-    own = ("keep_id", "group_size", "kept", "text_sha256")
-    keyed = docs.select(*[c for c in docs.columns if c not in own], hashed(text).alias("__key"), F.unhex(F.sha2(text, 256)).alias("__sha"))
-    return keyed.join(groups, ["__key", "__sha"]).select(
-        *[keyed[c] for c in docs.columns if c not in own],
-        F.col("__keep").alias("keep_id"),
-        F.col("__size").alias("group_size"),
-        F.col(id_col).eqNullSafe(F.col("__keep")).alias("kept"),
-        F.lower(F.hex("__sha")).alias("text_sha256"),
-    )
+    # joined on both digests in one column: the groups are then dealt anew like the documents, and as no aggregation stands between
+    # the shuffle and the join, adaptive execution can split a hot group's documents
+    groups = groups.select(F.concat("__key", "__sha").alias("__both"), "__keep", "__size")
+    kept = [c for c in docs.columns if c not in own]
+    keyed = docs.select(*[docs[c] for c in kept], F.col(id_col).alias("__id"), F.concat(hashed(text), F.unhex(F.sha2(text, 256))).alias("__both"))
+    added = (F.col("__keep"), F.col("__size"), F.col("__id").eqNullSafe(F.col("__keep")), F.lower(F.hex(F.substring("__both", -32, 32))))
+    return keyed.join(groups, "__both").select(*[keyed[c] for c in kept], *[c.alias(n) for c, n in zip(added, own, strict=True)])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns of docs."""
-    return mark(docs, id_col, text_col).where("kept").select(*docs.columns)
+    return mark(docs, id_col, text_col, own=("__keep_id", "__group_size", "__kept", "__text_sha256")).where("__kept").select(*docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

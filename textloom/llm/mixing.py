@@ -24,6 +24,8 @@ OTHER = "other"
 #: The production mixture: shares of bytes. The hot source is cut to a quarter, three are raised, all others keep the rest.
 WEIGHTS = {"src0": 0.25, "src1": 0.08, "src2": 0.08, "src3": 0.08, OTHER: 0.51}
 SEED, BLOCK = 20, 16.0
+#: The columns that `replicate` adds.
+OWN = ("copy", "n_copies", "rate", "shuffle_key")
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:
@@ -59,10 +61,9 @@ def rates(docs: DataFrame, weights: dict[str, float], block: float = BLOCK, sour
     return drawn.select("class", "rate", "draws", cdf.alias("cdf"))
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, block: float = BLOCK, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", sizes_of: DataFrame | None = None) -> DataFrame:
-    """docs, each as often as drawn, with copy (from 1), n_copies, rate and shuffle_key, in global random order."""
+def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, block: float = BLOCK, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", own: tuple[str, ...] = OWN) -> DataFrame:
+    """docs, each as often as drawn, with copy (from 1), n_copies, rate and shuffle_key, or as `own` names them, in global random order."""
     weights = weights or WEIGHTS
-    own = ("copy", "n_copies", "rate", "shuffle_key")
     kept = [c for c in docs.columns if c not in own]
     table = F.broadcast(rates(docs, weights, block, source_col, text_col).select(F.col("class").alias("__class"), F.col("rate").alias("__rate"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf")))
     below = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(seed, id_col, j)))
@@ -75,8 +76,14 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: in
         .select(*kept, "__n", "__rate", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
     )
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("__copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    out = drawn.select(*kept, F.col("__copy").alias("copy"), F.col("__n").alias("n_copies"), F.col("__rate").alias("rate"), key.alias("shuffle_key"))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    added = (F.col("__copy"), F.col("__n"), F.col("__rate"), key)
+    out = drawn.select(*kept, *[c.alias(n) for c, n in zip(added, own, strict=True)])
+    return out.repartition(own[3]).sortWithinPartitions(own[3], own[0])
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """The replicated documents in global random order, with the columns of docs."""
+    return replicate(docs, weights, own=("__c", "__n_copies", "__r", "__shuffle_key")).select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -281,6 +281,12 @@ def among(common: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return a.join(b, "token").where("nodea < nodeb and componenta <> componentb").where(similar_size("na", "nb", percent)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component: the one with the smallest id; and those without an id. With the columns of docs."""
+    stay = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
 OP10_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]

@@ -23,9 +23,12 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE, BUCKETS, RANK, THRESHOLD, SEED = 3000, 1 << 15, 8, 0.3, 11
 EPOCHS, RATE, L2, BATCH = 30, 0.08, 2e-4, 256
+#: The columns that `classify` adds.
+OWN = ("held_out", "score", "predicted")
 SYMBOLS = b"#$%&*+<=>@[\\]^_`{|}~"
 STATS = (
     "log words", "log characters", "word length", "distinct words", "commonest word", "equal neighbours", "distinct pairs", "upper case", "digits", "log symbols", "symbols", "log bars", "log exclamation marks",
@@ -167,12 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     return model.fit([(np.frombuffer(r.ids, "<i4"), np.frombuffer(r.x, "<f4")) for r in found], y)
 
 
-def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with held_out, score and predicted."""
+def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", own: tuple[str, ...] = OWN) -> DataFrame:
+    """docs with held_out, score and predicted, or as `own` names them."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on buckets and rank alone
-    own = ("held_out", "score", "predicted")
     kept = [c for c in docs.columns if c not in own]
     stated = kept.index("n_chars") if "n_chars" in kept else None
     at = kept.index(text_col)
@@ -182,11 +184,16 @@ def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = TH
         for batch in batches:
             numbers = batch.column(stated) if stated is not None else None
             scores = [1 / (1 + np.exp(-np.clip(m.margin(*_joined(f(t.as_py(), numbers[k].as_py() if numbers is not None else None), buckets)), -30, 30))) for k, t in enumerate(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, own[1]])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    out = docs.select(*[docs[c] for c in kept]).mapInArrow(scored, f"{fields}, score double")
-    return out.select(*kept, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    schema = T.StructType([docs.schema[c] for c in kept]).add(own[1], "double")
+    out = docs.select(*[docs[c] for c in kept]).mapInArrow(scored, schema)
+    return out.select(*[out[c] for c in kept], held_out(id_col).alias(own[0]), own[1], (F.col(own[1]) >= threshold).cast("int").alias(own[2]))
+
+
+def accepted(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with a score of threshold or more, with the columns of docs."""
+    return classify(docs, model, threshold, own=("__held_out", "__score", "__predicted")).where("__predicted = 1").select(*docs.columns)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
