@@ -57,7 +57,7 @@ def skipgram_weights(spark, sf_dir):
 def word_positions_last50(spark, sf_dir):
     t = g.tokens(_sents(spark, sf_dir))
     last = t.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("doc_id"), F.desc("sid"), F.desc("pos")))).where(F.col("r") <= g.LAST)
-    return last.groupBy("w").agg(F.count("*").alias("n"), F.round(F.sum((F.col("pos") / F.greatest(F.col("len") - 1, F.lit(1))).cast("decimal(18,12)")).cast("double") / F.count("*"), 6).alias("mean_position"))
+    return last.groupBy("w").agg(F.count("*").alias("n"), F.round(F.sum((F.col("pos") / F.greatest(F.col("len") - 1, F.lit(1))).cast("decimal(18,12)")).cast("double") / F.count("*") + 1e-8, 6).alias("mean_position"))
 
 
 def occurrence_gaps(spark, sf_dir):
@@ -213,7 +213,7 @@ SQL = {
     "trigrams": f"{W} SELECT a, b, c, count(*) AS n FROM (SELECT unnest(ws[:-3]) AS a, unnest(ws[2:-2]) AS b, unnest(ws[3:]) AS c FROM sents WHERE len(ws) > 2) GROUP BY ALL",
     "cooc_window3": f"{W}, {NEAR} SELECT * FROM co",
     "skipgram_weights": f"{W}, {SKIP} SELECT a, b, round(weight, 6) AS weight FROM snx",
-    "word_positions_last50": f"{W} SELECT w, count(*) AS n, round(sum((pos / greatest(len - 1, 1))::DECIMAL(18,12))::DOUBLE / count(*), 6) AS mean_position FROM (SELECT * FROM tok QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id DESC, sid DESC, pos DESC) <= 50) GROUP BY w",
+    "word_positions_last50": f"{W} SELECT w, count(*) AS n, round(sum((pos / greatest(len - 1, 1))::DECIMAL(18,12))::DOUBLE / count(*) + 1e-8, 6) AS mean_position FROM (SELECT * FROM tok QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id DESC, sid DESC, pos DESC) <= 50) GROUP BY w",
     "occurrence_gaps": f"{W}, {NUM} SELECT w, min(ns) AS first_seen, max(ns) AS last_seen, count(*) AS n_sentences, round((max(ns) - min(ns)) / nullif(count(*) - 1, 0), 6) AS mean_gap FROM (SELECT ns, unnest(list_distinct(ws)) AS w FROM num) GROUP BY w",
     "neighborhood_volatility": f"""{W}, o AS (SELECT doc_id, sid, pos, w, list_distinct(s.ws[greatest(pos - 2, 1):pos] || s.ws[pos + 2:pos + 4]) AS near FROM tok JOIN sents s USING (doc_id, sid)),
       l AS (SELECT w, near, lag(near) OVER (PARTITION BY doc_id, w ORDER BY sid, pos) AS before FROM o)
