@@ -157,3 +157,74 @@ def stats(freq: DataFrame, bigrams: DataFrame, nx: DataFrame, near: DataFrame, t
     for r in rows[1:]:
         whole = whole.unionByName(r)
     return whole
+
+
+#: The first step of a wave.
+WAVE_ENERGY, WAVE_TOP = 0.3, 15
+WAVE_SHARE = {"near": 0.30, "next": 0.25, "resonance": 0.25, "skip": 0.20}
+
+
+def activated(near: DataFrame, nx: DataFrame, res: DataFrame, skip: DataFrame, damping: DataFrame, k: int = WAVE_TOP) -> DataFrame:
+    """w, node, energy: what a word excites in one step. Of each kind of edge the k heaviest share their part of the energy, resonant
+    partners have their discount of it, and every node is damped by its own weight."""
+
+    def share(edges: DataFrame, weight: str, part: float) -> DataFrame:
+        t = top(edges, k, weight=weight).withColumn("all", F.sum(weight).over(Window.partitionBy("a")))
+        return t.select("a", "b", (F.lit(WAVE_ENERGY * part) * F.col(weight) / F.col("all")).alias("e"))
+
+    partners = top(res, k, weight="resonance").select("a", "b", (F.lit(WAVE_ENERGY * WAVE_SHARE["resonance"]) * discount(F.col("resonance"))).alias("e"))
+    edges = share(near, "n", WAVE_SHARE["near"]).unionByName(share(nx, "n", WAVE_SHARE["next"])).unionByName(partners).unionByName(share(skip, "weight", WAVE_SHARE["skip"]))
+    damped = edges.join(damping.select(F.col("w").alias("b"), "weight"), "b")
+    return damped.groupBy(F.col("a").alias("w"), F.col("b").alias("node")).agg(F.sum(F.col("e") * F.col("weight")).alias("energy"))
+
+
+def resonance_exact(sentences: list[list[str]], k: int = RESONANCE_TOP, step: float = RESONANCE_STEP) -> dict[tuple[str, str], float]:
+    """The order-dependent resonance of a small corpus, sentence by sentence on the driver: each word meets the k commonest successors
+    that its predecessor has had so far, and the k commonest predecessors of its successor."""
+    after: dict[str, dict[str, int]] = {}
+    before: dict[str, dict[str, int]] = {}
+    found: dict[tuple[str, str], float] = {}
+
+    def meet(w: str, seen: dict[str, int]) -> None:
+        for t in sorted(seen, key=lambda x: (-seen[x], x))[:k]:
+            if t != w:
+                for pair in ((w, t), (t, w)):
+                    found[pair] = found.get(pair, 0.0) + step
+
+    for ws in sentences:
+        for i, w in enumerate(ws):
+            if i:
+                meet(w, after.get(ws[i - 1], {}))
+            if i + 1 < len(ws):
+                meet(w, before.get(ws[i + 1], {}))
+        for a, b in zip(ws, ws[1:], strict=False):
+            after.setdefault(a, {})[b] = after.setdefault(a, {}).get(b, 0) + 1
+            before.setdefault(b, {})[a] = before.setdefault(b, {}).get(a, 0) + 1
+    return found
+
+
+VOWELS = ("a", "e", "i", "o", "u")
+
+
+def form_vector(w: Column) -> Column:
+    """Sixteen numbers of a word's shape: its pattern of vowels and consonants."""
+    n = F.length(w)
+    vowel = F.transform(F.filter(F.split(w, ""), lambda c: c != ""), lambda c: c.isin(*VOWELS).cast("int"))
+    size = n.cast("double")
+    sign = F.transform(vowel, lambda v: (2 * v - 1).cast("double"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    pair = lambda f: F.size(F.filter(F.sequence(F.lit(0), n - 2), lambda i: f(F.get(vowel, i), F.get(vowel, i + 1)))) / (size - 1)
+    three = lambda x, y, z: F.size(F.filter(F.sequence(F.lit(0), n - 3), lambda i: (F.get(vowel, i) == x) & (F.get(vowel, i + 1) == y) & (F.get(vowel, i + 2) == z))) / (size - 2)
+    longest = lambda v: F.aggregate(vowel, F.struct(F.lit(0).alias("r"), F.lit(0).alias("m")), lambda a, x: F.struct(F.when(x == v, a["r"] + 1).otherwise(0).alias("r"), F.greatest(a["m"], F.when(x == v, a["r"] + 1).otherwise(0)).alias("m")), lambda a: a["m"] / size)
+    third = F.floor(n / 3).cast("int")
+    two, many = n >= 2, n >= 3
+    zero = F.lit(0.0)
+    mu = mean(sign)
+    numbers = [
+        F.when(two, pair(lambda a, b: a != b)).otherwise(zero), longest(0), longest(1), F.get(sign, F.lit(0)), F.element_at(sign, -1),
+        F.when(many, mean(F.slice(sign, 2 * third + 1, n)) - mean(F.slice(sign, F.lit(1), third))).otherwise(zero), mean(F.transform(vowel, lambda v: v.cast("double"))),
+        F.when(two, F.sqrt(mean(F.transform(sign, lambda x: (x - mu) * (x - mu))))).otherwise(zero),
+        *[F.when(two, pair(lambda a, b, x=x, y=y: (a == x) & (b == y))).otherwise(zero) for x, y in ((0, 1), (1, 0), (0, 0), (1, 1))],
+        F.when(many, three(0, 1, 0)).otherwise(zero), F.when(many, three(1, 0, 1)).otherwise(zero), F.size(F.array_distinct(F.split(w, ""))) / size, F.least(size / 15, F.lit(1.0)),
+    ]
+    return F.array(*numbers)

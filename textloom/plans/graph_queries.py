@@ -168,6 +168,19 @@ def expectation_vector(spark, sf_dir):
     return v.select("w", *[F.round(c, 6).alias(f"e{i}") for i, c in enumerate(cols)])
 
 
+def wave_activation(spark, sf_dir):
+    """What each word excites in one step: how many nodes, how much energy, and the strongest."""
+    s = _sents(spark, sf_dir)
+    nx, near = g.next_words(s), g.near_words(s)
+    a = g.activated(near, nx, g.batch_resonance(nx), g.skip_words(s), g.inhibition(*_freq_degree(spark, sf_dir)))
+    return a.groupBy("w").agg(F.count("*").alias("n"), F.round(F.sum("energy"), 6).alias("energy"), F.round(F.max("energy"), 6).alias("strongest"))
+
+
+def form_vectors(spark, sf_dir):
+    w = g.tokens(_sents(spark, sf_dir)).select("w").where(F.col("w").rlike("^[a-z]+$")).distinct()
+    return w.withColumn("v", g.form_vector(F.col("w"))).select("w", *[F.round(F.get("v", F.lit(i)), 6).alias(f"f{i}") for i in range(16)])
+
+
 SPACE = r"[ \t\n\x0B\f\r\x{00A0}\x{FEFF}\x{2028}\x{2029}]"
 SENTS = rf"""sp AS (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS a FROM documents),
 s0 AS (SELECT doc_id, unnest(range(len(a)))::INT AS sid, unnest(a) AS s FROM sp),
@@ -247,10 +260,15 @@ SQL = {
       v AS (SELECT w, coalesce(fn, 0) AS fn, coalesce(pn, 0) AS pn, coalesce(inter, 0) AS inter, coalesce(ftop / ftot, 0) AS e0, coalesce(ptop / ptot, 0) AS e2, coalesce(ftop3 / ftot, 0) AS e7 FROM f FULL JOIN p USING (w) LEFT JOIN i USING (w))
       SELECT w, round(e0, 6) AS e0, round(least(fn / 15, 1), 6) AS e1, round(e2, 6) AS e2, round(least(pn / 15, 1), 6) AS e3, round(abs(e0 - e2), 6) AS e4, round(least((fn + pn) / 20, 1), 6) AS e5,
         round(CASE WHEN fn > 0 AND pn > 0 THEN 1 - inter / (fn + pn - inter) ELSE 0 END, 6) AS e6, round(e7, 6) AS e7 FROM v""",
+    "wave_activation": f"""{W}, {NEAR}, {SKIP}, {_res()}, {DEG}, m AS (SELECT {_median('n', 'fd')} AS mn, {_median('degree', 'fd')} AS md),
+      dm AS (SELECT w, least(greatest(0.5 / log2(n / greatest(mn, 1) + 2) + 0.5 / log2(degree / greatest(md, 1) + 2), 0.1), 1.0) AS damp FROM fd, m),
+      e AS ({' UNION ALL '.join(f"SELECT a, b, 0.3::DOUBLE * {x}::DOUBLE * {c} / sum({c}) OVER (PARTITION BY a) AS e FROM (SELECT * FROM {t} QUALIFY row_number() OVER (PARTITION BY a ORDER BY {c} DESC, b) <= 15)" for t, c, x in (('co', 'n', 0.30), ('nx', 'n', 0.25), ('snx', 'weight', 0.20)))}
+        UNION ALL SELECT a, b, 0.3::DOUBLE * 0.25::DOUBLE * least(0.6::DOUBLE + 0.08::DOUBLE * resonance, 0.95::DOUBLE) FROM res QUALIFY row_number() OVER (PARTITION BY a ORDER BY resonance DESC, b) <= 15),
+      x AS (SELECT a AS w, b AS node, sum(e * damp) AS energy FROM e JOIN dm ON dm.w = b GROUP BY ALL) SELECT w, count(*) AS n, round(sum(energy), 6) AS energy, round(max(energy), 6) AS strongest FROM x GROUP BY w""",
 }
 QUERIES = {
     "tokenize_sentences": tokenize_sentences, "reader_and_process_tokens": reader_and_process_tokens, "word_freq": word_freq, "char_bigrams": _bigrams, "next_word_pairs": next_word_pairs, "prev_word_pairs": prev_word_pairs, "trigrams": trigrams,
     "cooc_window3": cooc_window3, "skipgram_weights": skipgram_weights, "word_positions_last50": word_positions_last50, "occurrence_gaps": occurrence_gaps, "neighborhood_volatility": neighborhood_volatility, "sentence_shape": sentence_shape,
     "decayed_bigrams": decayed_bigrams, "compact_topn": compact_topn, "inhibition_weights": inhibition_weights, "upper_median": upper_median, "batch_resonance": batch_resonance, "resonance_partners": resonance_partners, "soft_next": soft_next,
-    "bigram_coherence": bigram_coherence, "turn_surprise": turn_surprise, "meaning_richness": meaning_richness, "graph_stats": graph_stats, "expectation_vector": expectation_vector,
+    "bigram_coherence": bigram_coherence, "turn_surprise": turn_surprise, "meaning_richness": meaning_richness, "graph_stats": graph_stats, "expectation_vector": expectation_vector, "wave_activation": wave_activation, "form_vectors": form_vectors,
 }

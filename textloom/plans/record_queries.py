@@ -218,6 +218,23 @@ def session_windows(spark, sf_dir):
     return ev.sessions(table(spark, sf_dir, "events"))
 
 
+def character_alignment(spark, sf_dir):
+    """Which letters of damaged words stand for which, by the cheapest alignment."""
+    from textloom.operators import align
+
+    x = _noisy(_vocab(spark, sf_dir)).select(F.explode(align.aligned_characters(F.col("query"), F.col("word"))).alias("x"))
+    return x.groupBy("x.kind", "x.a", "x.b").agg(F.count("*").alias("n"))
+
+
+def feedback_evaluation(spark, sf_dir):
+    """Each turn of a conversation held against the one before, word by word."""
+    from textloom.operators import align
+
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    b = t.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    return align.evaluated(b.withColumn("key", F.struct("conv_id", "turn")), "text", "before", "key").select("key.conv_id", "key.turn", "total", "correct", "substitutions", "deleted", "inserted")
+
+
 W = f"WITH {V}"
 _labs = "[" + ", ".join(f"'{x}'" for x in LABS) + "]"
 VALS = f"""vals AS (SELECT event_id, {_labs}[event_id % {len(LABS)} + 1] AS name, floor(value * 10)::BIGINT::VARCHAR AS raw FROM events),
@@ -283,4 +300,4 @@ SQL = {
     "sliding_windows": "SELECT begin, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS begin FROM events) GROUP BY begin",
     "session_windows": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS begin, count(*) AS n FROM s GROUP BY user_id, k",
 }
-QUERIES = {n: globals()[n] for n in SQL}
+QUERIES = {n: globals()[n] for n in [*SQL, "character_alignment", "feedback_evaluation"]}
