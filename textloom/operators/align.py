@@ -45,6 +45,12 @@ def word_distance(a: str, b: str, costs: dict[str, float] = STATIC_COSTS) -> flo
     return row[-1]
 
 
+@lru_cache(maxsize=200_000)
+def token_cost(s: str, t: str) -> float:
+    """Remembered within a worker: the same words meet again and again."""
+    return 0.0 if s == t else min(word_distance(s, t) / max(len(s), len(t), 1), 2.0)
+
+
 def _rows(a: list[str], b: list[str], cost) -> list[dict]:
     out = []
     for i, j in path(a, b, cost):
@@ -69,15 +75,10 @@ def aligned_characters(a: Column, b: Column) -> Column:
 
 def aligned_tokens(a: Column, b: Column) -> Column:
     """Of two texts: a pair of words costs their weighted distance as a share of the longer one's length, 2 at most."""
-    # the cost is remembered within a worker: the same words meet again and again
-    @lru_cache(maxsize=200_000)
-    def cost(s: str, t: str) -> float:
-        return 0.0 if s == t else min(word_distance(s, t) / max(len(s), len(t), 1), 2.0)
-
     @F.pandas_udf(_TYPE)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
-            yield pd.Series([_rows((p or "").split(), (q or "").split(), cost) for p, q in zip(x, y, strict=True)])
+            yield pd.Series([_rows((p or "").split(), (q or "").split(), token_cost) for p, q in zip(x, y, strict=True)])
 
     return run(a, b)
 

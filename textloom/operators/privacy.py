@@ -33,7 +33,13 @@ def counts(text: Column) -> list[Column]:
 
 def findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, type, token (numbered within the document over all types), sha256 of the original: the mapping table."""
-    kinds = (("CID", CIVIL, 0), ("MRN", RECORD, 1), ("DOB", BIRTH, 0), ("PHN", PHONE, 0))
-    found = F.concat(*[F.transform(F.regexp_extract_all(text_col, F.lit(p), F.lit(g)), lambda x, k=k: F.struct(F.lit(k).alias("type"), x.alias("original"))) for k, p, g in kinds])
+    # telephone numbers are sought in what the other patterns have left
+    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(text_col), CIVIL, "[[CID]]"), RECORD, "[[MRN]]"), BIRTH, "[[DOB]]")
+
+    def of(kind: str, text: Column, pattern: str, group: int) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.struct(F.lit(kind).alias("type"), x.alias("original")))
+
+    text = F.col(text_col)
+    found = F.concat(of("CID", text, CIVIL, 0), of("MRN", text, RECORD, 1), of("DOB", text, BIRTH, 0), of("PHN", left, PHONE, 0))
     e = docs.select(id_col, F.posexplode(found).alias("n", "x"))
     return e.select(id_col, F.col("x.type").alias("type"), F.concat(F.lit("[["), F.col("x.type"), F.lit("_"), F.lpad(F.col("n").cast("string"), 4, "0"), F.lit("]]")).alias("token"), F.sha2("x.original", 256).alias("hash"))

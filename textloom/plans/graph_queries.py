@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import graph as g
+from textloom.operators import roles
 from textloom.sources.tables import table
 
 
@@ -181,6 +182,11 @@ def form_vectors(spark, sf_dir):
     return w.withColumn("v", g.form_vector(F.col("w"))).select("w", *[F.round(F.get("v", F.lit(i)), 6).alias(f"f{i}") for i in range(16)])
 
 
+def roles_active_passive(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    return roles.extract(s, g.next_words(s), g.tokens(s).groupBy("w").agg(F.count("*").alias("n")))
+
+
 SPACE = r"[ \t\n\x0B\f\r\x{00A0}\x{FEFF}\x{2028}\x{2029}]"
 SENTS = rf"""sp AS (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS a FROM documents),
 s0 AS (SELECT doc_id, unnest(range(len(a)))::INT AS sid, unnest(a) AS s FROM sp),
@@ -265,10 +271,23 @@ SQL = {
       e AS ({' UNION ALL '.join(f"SELECT a, b, 0.3::DOUBLE * {x}::DOUBLE * {c} / sum({c}) OVER (PARTITION BY a) AS e FROM (SELECT * FROM {t} QUALIFY row_number() OVER (PARTITION BY a ORDER BY {c} DESC, b) <= 15)" for t, c, x in (('co', 'n', 0.30), ('nx', 'n', 0.25), ('snx', 'weight', 0.20)))}
         UNION ALL SELECT a, b, 0.3::DOUBLE * 0.25::DOUBLE * least(0.6::DOUBLE + 0.08::DOUBLE * resonance, 0.95::DOUBLE) FROM res QUALIFY row_number() OVER (PARTITION BY a ORDER BY resonance DESC, b) <= 15),
       x AS (SELECT a AS w, b AS node, sum(e * damp) AS energy FROM e JOIN dm ON dm.w = b GROUP BY ALL) SELECT w, count(*) AS n, round(sum(energy), 6) AS energy, round(max(energy), 6) AS strongest FROM x GROUP BY w""",
+    "roles_active_passive": f"""{W}, s AS (SELECT doc_id, sid, ws, len(ws) AS len, list_filter(list_transform(range(len(ws)), lambda i: CASE WHEN ws[i + 1] IN {roles.AUXILIARIES} THEN i + nullif(coalesce(list_position(ws[i + 2:i + 5], 'by'), 0), 0) END), lambda x: x IS NOT NULL)[1] AS by_at,
+        list_filter(list_transform(range(len(ws)), lambda i: {{'i': i, 'w': ws[i + 1]}}), lambda x: x.w NOT IN {roles.FUNCTION_WORDS}) AS c FROM sents),
+      w0 AS (SELECT doc_id, sid, len, by_at, len(c) AS n_content, unnest(range(len(c))) AS k, unnest(c) AS x FROM s), w AS (SELECT doc_id, sid, len, by_at, n_content, k, x.i AS i, x.w AS w FROM w0),
+      ex AS (SELECT x.doc_id, x.sid, x.i, y.i AS j, least(n, 5) * 2.0::DOUBLE AS e FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.sid = y.sid AND x.i < y.i JOIN nx ON nx.a = x.w AND nx.b = y.w),
+      ft AS (SELECT doc_id, sid, i, sum(e) AS fit FROM (SELECT doc_id, sid, i, e FROM ex UNION ALL SELECT doc_id, sid, j, e FROM ex) GROUP BY ALL),
+      ff AS (SELECT a AS w, count(*) AS f FROM nx GROUP BY a), pp AS (SELECT b AS w, count(*) AS p FROM nx GROUP BY b), xx AS (SELECT u.a AS w, count(*) AS x FROM nx u JOIN nx v ON u.a = v.b AND u.b = v.a GROUP BY u.a),
+      ay AS (SELECT w, 1 - coalesce(x, 0) / (coalesce(f, 0) + coalesce(p, 0) - coalesce(x, 0)) AS asym FROM ff FULL JOIN pp USING (w) LEFT JOIN xx USING (w)),
+      kn AS (SELECT w.*, greatest(max(coalesce(wf.n, 0)) OVER (PARTITION BY doc_id, sid), 1) AS most, coalesce(wf.n, 0) AS freq, coalesce(asym, 0) AS asym, coalesce(fit, 0) AS fit FROM w LEFT JOIN wf USING (w) LEFT JOIN ay USING (w) LEFT JOIN ft USING (doc_id, sid, i)),
+      bs AS (SELECT doc_id, sid, k AS "at" FROM kn WHERE n_content <= 2 OR by_at IS NOT NULL OR (k > 0 AND k < n_content - 1) QUALIFY row_number() OVER (PARTITION BY doc_id, sid ORDER BY
+        round(10.0::DOUBLE * asym + fit + CASE WHEN k > 0 AND k < n_content - 1 THEN 3.0::DOUBLE ELSE 0 END - 4.0::DOUBLE * freq / most - CASE WHEN i = 0 THEN 5.0::DOUBLE ELSE 0 END - CASE WHEN i = len - 1 THEN 3.0::DOUBLE ELSE 0 END, 9) DESC, k) = 1),
+      z AS (SELECT s.*, "at", c["at" + 1].w AS action, CASE WHEN "at" > 0 THEN c[1].w END AS first FROM s LEFT JOIN bs USING (doc_id, sid))
+      SELECT doc_id, sid, by_at IS NOT NULL AS passive, CASE WHEN len(c) > 1 THEN CASE WHEN by_at IS NOT NULL THEN list_filter(c, lambda x: x.i > by_at AND x.w <> action)[1].w ELSE first END END AS agent, action,
+        CASE WHEN len(c) > 1 THEN CASE WHEN by_at IS NOT NULL THEN first ELSE c["at" + 2].w END END AS patient FROM z""",
 }
 QUERIES = {
     "tokenize_sentences": tokenize_sentences, "reader_and_process_tokens": reader_and_process_tokens, "word_freq": word_freq, "char_bigrams": _bigrams, "next_word_pairs": next_word_pairs, "prev_word_pairs": prev_word_pairs, "trigrams": trigrams,
     "cooc_window3": cooc_window3, "skipgram_weights": skipgram_weights, "word_positions_last50": word_positions_last50, "occurrence_gaps": occurrence_gaps, "neighborhood_volatility": neighborhood_volatility, "sentence_shape": sentence_shape,
     "decayed_bigrams": decayed_bigrams, "compact_topn": compact_topn, "inhibition_weights": inhibition_weights, "upper_median": upper_median, "batch_resonance": batch_resonance, "resonance_partners": resonance_partners, "soft_next": soft_next,
-    "bigram_coherence": bigram_coherence, "turn_surprise": turn_surprise, "meaning_richness": meaning_richness, "graph_stats": graph_stats, "expectation_vector": expectation_vector, "wave_activation": wave_activation, "form_vectors": form_vectors,
+    "bigram_coherence": bigram_coherence, "turn_surprise": turn_surprise, "meaning_richness": meaning_richness, "graph_stats": graph_stats, "expectation_vector": expectation_vector, "wave_activation": wave_activation, "form_vectors": form_vectors, "roles_active_passive": roles_active_passive,
 }

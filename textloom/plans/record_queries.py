@@ -258,7 +258,8 @@ _cnt = lambda p: f"len(regexp_extract_all(text, '{_re(p)}'))::INT"
 _redact = "text"
 for _p, _r in ((privacy.CIVIL, "[[CID]]"), (r"(?i)\b(MRN|File|ID)([:\s#]*)\d{6,8}\b", r"\1\2[[MRN]]"), (privacy.BIRTH, "[[DOB]]"), (privacy.PHONE, "[[PHN]]"), (privacy.EMAIL, "[[EML]]")):
     _redact = f"regexp_replace({_redact}, '{_re(_p)}', '{_r}', 'g')"
-_all = " || ".join(f"list_transform(regexp_extract_all(text, '{_re(p)}', {g}), lambda x: {{'t': '{k}', 'x': x}})" for k, p, g in (("CID", privacy.CIVIL, 0), ("MRN", privacy.RECORD, 1), ("DOB", privacy.BIRTH, 0), ("PHN", privacy.PHONE, 0)))
+_left = f"regexp_replace(regexp_replace(regexp_replace(text, '{_re(privacy.CIVIL)}', '[[CID]]', 'g'), '{_re(privacy.RECORD)}', '[[MRN]]', 'g'), '{_re(privacy.BIRTH)}', '[[DOB]]', 'g')"
+_all = " || ".join(f"list_transform(regexp_extract_all({t}, '{_re(p)}', {g}), lambda x: {{'t': '{k}', 'x': x}})" for k, t, p, g in (("CID", "text", privacy.CIVIL, 0), ("MRN", "text", privacy.RECORD, 1), ("DOB", "text", privacy.BIRTH, 0), ("PHN", _left, privacy.PHONE, 0)))
 _weight = " ".join(f"WHEN contains(lower(name), '{p}') THEN {w}::DOUBLE" for p, w in learn.COLUMN_WEIGHTS)
 _base = "CASE pair " + " ".join(f"WHEN '{k}' THEN {x}::DOUBLE" for k, x in STATIC_COSTS.items()) + " ELSE 1 END"
 _forms = ", ".join(f"'{p}' || root || '{s}'" for p in ("", *PREFIXES) for s in ("", *SUFFIXES))
