@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches to and from Python of at most `rows` documents (Spark's default is 10,000), as some texts are very long: a worker holds a batch and what is made of it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
