@@ -6,14 +6,16 @@ into all pairs.
 
 1. Documents with equal sets (a 128-bit hash of the sorted set) form a class; its smallest id stands for it from here on.
 2. Near copies are merged cheaply: classes that share a key of two minimum hashes are compared with the smallest one of that key (a
-   star, not all pairs). Verified links form first components. This step only saves work, step 3 finds whatever it misses.
+   star, not all pairs). Verified links form first components; further rounds with other keys compare only what is apart still. This
+   step only saves work, step 3 finds whatever it misses.
 3. The join. All shingles have one global order: common ones last, otherwise by hash. A document's prefix are its first P + l - 1
    shingles in that order, P = n - ceil(0.75 n) + 1, and two linking documents share at least min(l, l') shingles of their prefixes.
    Each document sends a stretch of its smallest hashes, longer than P. Shingles that more than HOT components share are common; how
    many of them lie in a document's stretch is the cost it would have; they leave its prefix, and l is what remains over. Documents
-   with too few left (l < 1) get a longer stretch: all their shingles. Shingles that lie in one component only are dropped: nothing
-   is left to find there. The others' documents are paired when their components differ and their sizes allow 0.75, pairs with
-   fewer shared prefix shingles than required are dropped, and the rest is verified.
+   with too few left (l < 1, and with them those that are close to it) get a longer stretch: all their shingles. Shingles that lie in one component only are dropped: nothing
+   is left to find there. The others' documents are paired when their components differ and their sizes allow 0.75, and pairs with
+   fewer shared prefix shingles than required are dropped. Of two components, the pair that shares most is verified first; what it
+   joins needs no more pairs, and all pairs of the rest are verified.
    Documents that consist of common shingles only (l < 1 though all are sent) can miss each other only; they are joined among
    themselves on plain hash-ordered prefixes.
 4. Components of all links.
@@ -34,12 +36,12 @@ from pyspark.sql import functions as F
 
 from textloom.llm import meeting
 from textloom.llm.components import components
-from textloom.llm.storage import written
+from textloom.llm.storage import small_batches, written
 
-WIDTH, PERCENT, HOT, KEYS = 5, 75, 24, 6
+WIDTH, PERCENT, HOT, KEYS, ROUNDS = 5, 75, 24, 6, 3
 _rng = np.random.default_rng(2024)
-_MULTIPLIERS = _rng.integers(1, 1 << 63, 2 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-KEY_COLS = [f"key{i}" for i in range(KEYS)]
+_MULTIPLIERS = _rng.integers(1, 1 << 63, 2 * KEYS * ROUNDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+KEY_COLS = [f"key{i}" for i in range(KEYS * ROUNDS)]
 
 
 def shingles(text: str | None, hashes: meeting.WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -65,6 +67,15 @@ def _unpacked48(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u4", n).astype(np.uint64) | np.frombuffer(b, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
+def minima(h: np.ndarray) -> np.ndarray:
+    """The keys: each mixed from the set's minima under two multiplications."""
+    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(h), 20_000):  # so that a very long text takes no more memory
+            least = np.minimum(least, (h[lo : lo + 20_000] * _MULTIPLIERS[:, None]).min(1))
+        return meeting.mixed(least[::2] * np.uint64(31) + least[1::2] + np.arange(len(KEY_COLS), dtype=np.uint64)).view(np.int64)
+
+
 def sketch(docs: DataFrame, width: int, percent: int, whole: bool = False) -> DataFrame:
     """doc_id, n, sig (of the set), the keys, and the packed stretch (48 bits a shingle: equal shingles stay equal)."""
     import pyarrow as pa
@@ -79,10 +90,8 @@ def sketch(docs: DataFrame, width: int, percent: int, whole: bool = False) -> Da
                 n.append(len(h))
                 sig.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sent.append(_packed48(h if whole else h[: stretch(len(h), percent)]))
-                with np.errstate(over="ignore"):
-                    least = [int((h * m).min()) if len(h) else 0 for m in _MULTIPLIERS]
-                    keys.append(meeting.mixed(np.array(least[::2], np.uint64) * np.uint64(31) + np.array(least[1::2], np.uint64) + np.arange(KEYS, dtype=np.uint64)).view(np.int64))
-            by_key = np.array(keys).reshape(-1, KEYS)
+                keys.append(minima(h))
+            by_key = np.array(keys).reshape(-1, len(KEY_COLS))
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "sent": pa.array(sent, pa.binary())} | {c: pa.array(by_key[:, i], pa.int64()) for i, c in enumerate(KEY_COLS)}
             )
@@ -95,7 +104,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     import pyarrow as pa
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = meeting.sought(docs, ids, "doc_id")
+    texts = written(meeting.sought(docs, ids, "doc_id"), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def compared(batches):
@@ -123,12 +132,24 @@ def similar_size(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def stars(classes: DataFrame, percent: int) -> DataFrame:
-    """Each class with the smallest class of each of its keys."""
-    keyed = classes.select("node", "n", F.posexplode(F.array(*KEY_COLS)).alias("i", "key")).select("node", "n", F.xxhash64("i", "key").alias("key"))
-    first = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
+def stars(classes: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Each class with the smallest class of each of its keys, if they are in different components."""
+    keyed = classes.select("node", "component", "n", F.posexplode(F.array(*keys)).alias("i", "key")).select("node", "component", "n", F.xxhash64("i", "key").alias("key"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("node", "component", "n")).alias("first"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key", "first")
+    # joined on a hash of the key: both sides are dealt anew, so that adaptive execution can split a hot key
     dealt = lambda d: d.withColumn("h", F.xxhash64("key", F.lit(1)))
-    return dealt(keyed).join(dealt(first), ["h", "key"]).where("node > first.node").where(similar_size("n", "first.n", percent)).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    return dealt(keyed).join(dealt(first), ["h", "key"]).where("component <> first.component").where(similar_size("n", "first.n", percent)).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, component, and more) with the components that links (a, b) between nodes join."""
+    ends = groups.select("node", "component").distinct()
+    at = lambda d, x: d.join(ends.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x)
+    found = components(at(at(links, "a"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    named = found.select(F.col("node").alias("component"), F.col("component").alias("smallest"))
+    dealt = lambda d: d.withColumn("h", F.xxhash64("component", F.lit(3)))
+    kept = [c for c in groups.columns if c != "component"]
+    return dealt(groups).join(dealt(named), ["h", "component"], "left").select(*kept, F.coalesce("smallest", "component").alias("component"))
 
 
 def shared_shingles(sent: DataFrame, total: int, hot: int) -> DataFrame:
@@ -209,56 +230,72 @@ def shared_shingles(sent: DataFrame, total: int, hot: int) -> DataFrame:
 
 
 def candidates(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share as many prefix shingles as either requires. nodes: node, n, l."""
+    """a, b, shared: pairs of different components that share as many prefix shingles as either requires. nodes: node, n, l."""
     p = postings.join(nodes.select("node", "n", "l"), "node").select("token", "node", "component", "n", "l")
     a, b = (p.select("token", *[F.col(c).alias(c + x) for c in ("node", "component", "n", "l")]) for x in "ab")
     pairs = a.join(b, "token").where("nodea < nodeb and componenta <> componentb").where(similar_size("na", "nb", percent))
-    return pairs.groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("la", "lb")).alias("need")).where("shared >= need").select("a", "b")
+    return pairs.groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("la", "lb")).alias("need")).where("shared >= need").select("a", "b", "shared")
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = written(sketch(docs, width, percent), "sketch")
-    classes = written(base.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in KEY_COLS]), "classes")
+    groups = base.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in KEY_COLS]).withColumn("component", F.col("node"))
+    groups = written(groups, "classes")
+    for i in range(rounds):
+        pairs = written(stars(groups, KEY_COLS[i * KEYS : (i + 1) * KEYS], percent), "stars")
+        if pairs.isEmpty():
+            break
+        groups = written(merged(groups, verified(pairs, docs, width, percent)), "classes")
+    nodes = groups.select("sig", "node", "n", "component")
+
+    pairs = written(apart(base, docs, nodes, width, percent, hot), "pairs")
+    ends = nodes.select("node", "component").distinct()
+    at = lambda d, e, x: d.join(e.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x)
+    best = at(at(pairs, ends, "a"), ends, "b").groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b")
+    best = written(best, "best")
+    if not best.isEmpty():
+        nodes = written(merged(nodes, verified(best, docs, width, percent)), "nodes")
+        ends = nodes.select("node", "component").distinct()
+        rest = at(at(pairs.join(best, ["a", "b"], "left_anti"), ends, "a"), ends, "b").where("ca <> cb").select("a", "b")
+        rest = written(rest, "rest")
+        if not rest.isEmpty():
+            nodes = written(merged(nodes, verified(rest, docs, width, percent)), "nodes")
+    dealt = lambda d: d.withColumn("h", F.xxhash64("sig", F.lit(2)))
+    last = nodes.select("sig", F.col("component").alias("component_id"))
+    return dealt(base.select("doc_id", "n", "sig")).join(dealt(last), ["h", "sig"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
-    first_links = verified(written(stars(classes, percent), "stars"), docs, width, percent)
-    merged = components(first_links)
-    nodes = written(classes.select("sig", "node", "n").join(merged, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component")), "nodes")
 
+def apart(base: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, hot: int) -> DataFrame:
+    """a, b, shared: the pairs of different components that may link."""
     whole_class = nodes.withColumnRenamed("sig", "of_sig")
     of_class = base.select("sig", "doc_id", "sent").join(whole_class, (F.col("sig") == F.col("of_sig")) & (F.col("doc_id") == F.col("node"))).select("node", "component", "n", "sent")
     total = int(nodes.selectExpr(f"sum(n) * {100 - percent} div 100 * 6 div 5 as t").first().t or 0)
+    needed = f"(n - ({percent} * n + 99) div 100 + 1)"
     longer = None
     while True:
-        sent = of_class if longer is None else of_class.join(longer.select("node"), "node", "left_anti").unionByName(
-            longer.select("node", "component", "n").join(sketch(meeting.sought(docs, longer.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), width, percent, whole=True).select(F.col("doc_id").alias("node"), "sent", F.col("n").alias("n_")), "node").where("n = n_").drop("n_")
-        )
+        sent, length = of_class, nodes.select("node", "n", "component").withColumn("whole", F.lit(False))
+        if longer is not None:
+            ids = longer.select(F.col("node").alias("doc_id")).distinct()
+            all_of = sketch(meeting.sought(docs, ids, "doc_id"), width, percent, whole=True).select(F.col("doc_id").alias("node"), "sent", F.col("n").alias("n_"))
+            sent = of_class.join(longer.select("node"), "node", "left_anti").unionByName(longer.join(all_of, "node").where("n = n_").select("node", "component", "n", "sent"))
+            length = length.drop("whole").join(longer.select("node", F.lit(True).alias("whole")).distinct(), "node", "left")
         found = written(shared_shingles(sent, total, hot), "shared")
         cost = found.where("hot > 0").groupBy("node").agg(F.sum("hot").alias("hot"))
-        sent_n = F.expr(f"least(n, (n - ({percent} * n + 99) div 100 + 1) * 6 div 5 + 6)")
-        length = nodes.select("node", "n", "component").join(cost, "node", "left")
-        if longer is not None:
-            length = length.join(longer.select("node", F.lit(True).alias("whole")), "node", "left")
-        else:
-            length = length.withColumn("whole", F.lit(False))
-        length = length.withColumn("sent_n", F.when(F.coalesce("whole", F.lit(False)), F.col("n")).otherwise(sent_n)).withColumn("l", F.expr(f"sent_n - coalesce(hot, 0) - (n - ({percent} * n + 99) div 100 + 1) + 1"))
-        length = written(length.select("node", "n", "component", "sent_n", "l"), "prefixes")
-        short = length.where("l < 1 and sent_n < n").select("node", "component", "n")
-        if short.isEmpty():
+        length = length.join(cost, "node", "left").withColumn("sent_n", F.when(F.coalesce("whole", F.lit(False)), F.col("n")).otherwise(F.expr(f"least(n, {needed} * 6 div 5 + 6)")))
+        length = written(length.select("node", "n", "component", "sent_n", F.expr(f"sent_n - coalesce(hot, 0) - {needed} + 1").alias("l")), "prefixes")
+        if length.where("l < 1 and sent_n < n").isEmpty():
             break
-        longer = written(short if longer is None else short.unionByName(longer).distinct(), "longer")
+        close = length.where(f"l < 3 + {needed} div 10 and sent_n < n").select("node", "component", "n")
+        longer = written(close if longer is None else close.unionByName(longer).distinct(), "longer")
 
     pairs = candidates(found.where("hot = 0"), length.withColumn("l", F.greatest("l", F.lit(1))), percent)
     common = length.where("l < 1").select("node", "component", "n")
     if not common.isEmpty():
-        pairs = pairs.unionByName(among(common, docs, width, percent)).distinct()
-    links = verified(written(pairs, "pairs"), docs, width, percent)
-    ends = lambda d, x: d.join(nodes.select(F.col("node").alias(x), F.col("component").alias(x + x)).distinct(), x)
-    again = components(ends(ends(links, "a"), "b").select(F.col("aa").alias("a"), F.col("bb").alias("b")))
-    last = nodes.join(again.withColumnRenamed("component", "smallest"), nodes.component == again.node, "left").select("sig", F.coalesce("smallest", nodes.component).alias("component_id"))
-    dealt = lambda d: d.withColumn("h", F.xxhash64("sig", F.lit(2)))
-    return dealt(base.select("doc_id", "n", "sig")).join(dealt(last), ["h", "sig"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        pairs = pairs.unionByName(among(common, docs, width, percent).withColumn("shared", F.lit(1).cast("long"))).groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    return pairs
 
 
 def among(common: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
