@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, LEAF, SAMPLE, SHARE, LEAST, BLOCK, K, EVERY, SEED = 24, 64, 16384, 0.6, 1000, 20_000, 10, 100, 3
+TREES, LEAF, SAMPLE, SHARE, LEAST, BLOCK, K, EVERY, SEED = 24, 64, 16384, 0.8, 1000, 20_000, 10, 100, 3
 
 
 class Tree:

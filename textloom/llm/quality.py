@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm.storage import small_batches
+
 SAMPLE, BUCKETS, RANK, THRESHOLD, SEED = 3000, 1 << 15, 8, 0.3, 11
 EPOCHS, RATE, L2, BATCH = 30, 0.08, 2e-4, 256
 #: The columns that `classify` adds.
@@ -47,7 +49,7 @@ class Featuriser:
         self.at: dict[str, int] = {}
 
     def _bucket(self, word: str) -> int:
-        if len(self.at) > 400_000:
+        if len(self.at) > 150_000:
             self.at.clear()
         b = self.at[word] = zlib.crc32(word.encode("utf-8", "replace")) % self.buckets
         return b
@@ -174,6 +176,7 @@ def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = TH
     """docs with held_out, score and predicted, or as `own` names them."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on buckets and rank alone
     kept = [c for c in docs.columns if c not in own]
     stated = kept.index("n_chars") if "n_chars" in kept else None
