@@ -22,7 +22,11 @@ from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.storage import small_batches
+
 CACHED, SLICE = 300_000, 200_000
+#: A worker's encoder, kept from task to task with the matches that it has encoded.
+_encoders: dict[str, Encoder] = {}
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -39,27 +43,57 @@ class Vocabulary:
         missing = [i for i in range(256) if bytes([i]) not in ranks]
         if missing:
             raise ValueError(f"no token for the bytes {missing[:5]}")
-        self._valid: dict[tuple[int, int], bool] = {}
+        self._valid: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
-        """By merges in order of rank; for short pieces, to find which pairs are valid."""
+    def merged(self, piece: bytes, below: int = 1 << 62) -> list[int]:
+        """By merges in order of rank, of ranks under `below`; for short pieces, to find how tokens came about."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             rank, at = min(((self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(1 << 62, 0))
-            if rank == 1 << 62:
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge made it; a byte is its own halves. None: merges don't make it."""
+        if token not in self._halves:
+            data = self.bytes_of[token]
+            parts = self.merged(data, token) if len(data) > 1 else [token, token]
+            self._halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self._halves[token]
+
     def valid_pair(self, a: int, b: int) -> bool:
-        found = self._valid.get((a, b))
+        """Whether a and b stay as they are when their bytes are encoded together. Were there a merge across the border, it would join
+        a right half of a (of a half of it, ...) with a left half of b, of a rank under the merge that has taken either of them away.
+        So the tokens are taken apart, the later one first, and each pair that stood at the border for a time is looked up."""
+        key = a << 32 | b
+        found = self._valid.get(key)
         if found is None:
             if len(self._valid) > CACHED:
                 self._valid.clear()
-            found = self._valid[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            found = self._valid[key] = self._border(a, b)
         return found
 
+    def _border(self, a: int, b: int) -> bool:
+        if self.halves(a) is None or self.halves(b) is None:
+            return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        taken = 1 << 62  # merges of this rank or more come too late
+        while True:
+            joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if joined is not None and joined < taken:
+                return False
+            single_a, single_b = len(self.bytes_of[a]) == 1, len(self.bytes_of[b]) == 1
+            if single_a and single_b:
+                return True
+            # the one made last is taken apart; merges go left to right, so a merge as late as b's comes before b's
+            if not single_a and (single_b or a > b):
+                taken, a = a, self.halves(a)[1]
+            else:
+                taken, b = b + 1, self.halves(b)[0]
+
     def valid_first(self, a: int) -> bool:
         found = self._whole.get(a)
         if found is None:
@@ -74,18 +108,30 @@ class PrefixTable:
         self.v, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _entry(self, data: bytes, end: int, last: list[int]) -> int:
+    def _extend(self, data: bytes, last: list[int], upto: int) -> None:
+        """Entries for the prefixes of data behind those that last has. Longer tokens are tried first."""
         v = self.v
-        for start in range(max(0, end - v.longest), end):
-            token = v.ranks.get(data[start:end])
-            if token is not None and (v.valid_pair(last[start], token) if start else v.valid_first(token)):
-                return token
-        raise AssertionError("every prefix has a last token")
+        rank, valid, longest = v.ranks.get, v._valid, v.longest
+        for end in range(len(last), upto + 1):
+            for start in range(max(0, end - longest), end):
+                token = rank(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    ok = valid.get(last[start] << 32 | token)
+                    if ok is None:
+                        ok = v.valid_pair(last[start], token)
+                else:
+                    ok = v.valid_first(token)
+                if ok:
+                    last.append(token)
+                    break
+            else:
+                raise AssertionError("every prefix has a last token")
 
     def append(self, more: bytes) -> PrefixTable:
-        begin, self.data = len(self.data), self.data + more
-        for end in range(begin + 1, len(self.data) + 1):
-            self.last.append(self._entry(self.data, end, self.last))
+        self.data += more
+        self._extend(self.data, self.last, len(self.data))
         return self
 
     def edit(self, at: int, removed: int, added: bytes) -> int:
@@ -93,7 +139,7 @@ class PrefixTable:
         old, data = self.last, self.data[:at] + added + self.data[at + removed :]
         shift, last, same = len(added) - removed, self.last[: at + 1], 0
         for end in range(at + 1, len(data) + 1):
-            last.append(self._entry(data, end, last))
+            self._extend(data, last, end)
             same = same + 1 if end > at + len(added) and last[end] == old[end - shift] else 0
             if same >= self.v.longest:
                 rebuilt = end - at
@@ -168,11 +214,16 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     import pyarrow as pa
 
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(spark, path))  # one vocabulary file
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast((f"{path} {pattern}", read_ranks(spark, path)))  # one vocabulary file
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encoded(batches):
-        encoder = Encoder(shared.value, pattern)
+        name, ranks = shared.value
+        if name not in _encoders:
+            _encoders.clear()
+            _encoders[name] = Encoder(ranks, pattern)
+        encoder = _encoders[name]
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             n, a, b, all_ids = [], [], [], []
