@@ -7,7 +7,7 @@ encoder stores that token for each prefix, left to right. Appending bytes extend
 rebuilt from the edit on, and as soon as as many successive entries as the longest token has bytes are the old ones, the rest is kept.
 
 Text is cut by the pattern first, and each match is encoded by itself; a match that is a token as a whole is that token. Matches
-recur, so each worker keeps those that it has encoded, up to a bound, and starts afresh beyond it: the result can't change by that.
+recur, so each worker keeps those that it has encoded, up to a bound, and fewer from task to task: the result can't change by that.
 
 Defined cases. Null counts as empty; an empty text has no ids. Texts are encoded whole, in slices of matches, so a long text needs
 memory for itself and its ids. Rows are independent: repeated rows repeat their result; the input's other columns are dropped.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.storage import small_batches
 
-CACHED, SLICE = 300_000, 200_000
+CACHED, KEPT, SLICE = 150_000, 100_000, 200_000
 #: A worker's encoder, kept from task to task with the matches that it has encoded.
 _encoders: dict[str, Encoder] = {}
 
@@ -179,6 +179,14 @@ class Encoder:
 
         self.pieces = Pieces()
 
+    def shrink(self) -> None:
+        """Keeps the matches and pairs that came first, mostly the commonest, so that an idle worker holds little."""
+        for kept in (self.pieces, self.v._valid):
+            if len(kept) > KEPT:
+                first = list(islice(kept.items(), KEPT))
+                kept.clear()
+                kept.update(first)
+
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.v.ranks.get(data)
         return [whole] if whole is not None else PrefixTable(self.v, data).tokens()
@@ -241,6 +249,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 all_ids.append(b"".join(kept))
             columns = {"doc_id": ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
             yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(all_ids, pa.binary())} if with_ids else {}))
+        encoder.shrink()
 
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(encoded, schema)
