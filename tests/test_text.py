@@ -100,3 +100,10 @@ def test_learning(spark):
     assert {(r.ctx_val, r.token, r.n) for r in c} == {("abdullah", "chest infection", 1), ("abdullah", "chest", 1), ("abdullah", "infection", 1)}
     w = spark.createDataFrame([("Medication",), ("Diagnosis",), ("Room",), ("notes",)], "c string").select("c", learn.column_weight(F.col("c")).alias("w")).collect()
     assert [r.w for r in w] == [3.0, 2.5, 1.0, 1.0]
+
+
+def test_lcs_accuracy_takes_whole_turns(spark, tmp_path):
+    from textloom.plans.correct_queries import lcs_accuracy
+
+    spark.createDataFrame([(1, 0, "bb"), (1, 1, "aa " * (1 << 20) + "bb")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in lcs_accuracy(spark, str(tmp_path)).collect()] == [(1, 1, (1 << 20) + 1, 1, 1)]

@@ -125,7 +125,7 @@ def lcs_accuracy(spark, sf_dir):
     """Successive turns of a conversation, aligned by their longest common subsequence of words."""
     from pyspark.sql import Window
 
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(tx.model_tokens(F.col("text")), 1, 1 << 20).alias("ws"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.model_tokens(F.col("text")).alias("ws"))
     b = t.withColumn("before", F.lag("ws").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
     return b.select("conv_id", "turn", F.size("ws").alias("n"), F.size("before").alias("n_before"), lcs_length(F.col("ws"), F.col("before")).alias("lcs"))
 
