@@ -61,9 +61,52 @@ def test_an_edit_keeps_what_lies_behind(ranks):
 
 
 def test_append_to_a_text(ranks):
+    e, r = bpe.Encoder(ranks, P.PATTERN), random.Random(6)
+    for text, more in (("it'", "s fine"), ("we'r", "e"), ("a  ", "b"), ("", "x"), ("don", "'t"), ("x" * 5000, " y"), ("x" * 5000, "yz"), ("a b " * 5000, "c"), ("x", "")):
+        assert bpe.GrowingText(e, text).append(more).ids() == e.encode(text + more)
+    for _ in range(40):
+        whole, growing = "", bpe.GrowingText(e)
+        for _ in range(30):
+            more = "".join(r.choice("ab  'streé1.\n") for _ in range(r.randrange(6)))
+            whole += more
+            assert growing.append(more).ids() == e.encode(whole)
+
+
+def test_append_works_on_the_end_only(ranks):
     e = bpe.Encoder(ranks, P.PATTERN)
-    for text, more in (("it'", "s fine"), ("we'r", "e"), ("a  ", "b"), ("", "x"), ("don", "'t"), ("x" * 5000, " y")):
-        assert e.append(text, e.encode(text), more) == e.encode(text + more)
+    growing = bpe.GrowingText(e, "the cat sat on the mat " * 20_000)
+    assert sum(map(len, growing.open)) < 20
+    table, read = bpe.PrefixTable(e.v, b"ab" * 20_000), []
+    plain = e.v.ending
+
+    class Watched:
+        def iter(self, text):
+            read.append(len(text))
+            return plain.iter(text)
+
+    e.v.ending = Watched()
+    table.append(b"abab")
+    assert read == [e.v.longest + 3] and table.last == bpe.PrefixTable(bpe.Vocabulary(ranks), b"ab" * 20_002).last
+
+
+def test_many_tables_at_once(ranks):
+    v, r = bpe.Vocabulary(ranks), random.Random(8)
+    pieces = [" ".join(r.choice(["the", "rn", "é", "abc", "1", "\n", "tion"]) for _ in range(r.randrange(1, 8))).encode() for _ in range(500)] + [b"a", b"the", b"\x00\xff" * 9]
+    tables = bpe.PrefixTables(v)
+    want = [[v.ranks[p]] if p in v.ranks else bpe.PrefixTable(v, p).tokens() for p in pieces]
+    for _ in range(2):
+        assert tables.encode(pieces) == [struct.pack(f"<{len(w)}I", *w) for w in want]
+
+
+def test_what_is_remembered_is_bounded():
+    kept = bpe.Remembered(10)
+    for i in range(100):
+        if kept.known(i % 8) is None:
+            kept[i % 8] = i
+    assert all(kept.known(i) == i for i in range(8))
+    for i in range(500):
+        kept[i] = i
+        assert kept.known(i) == i and len(kept) + len(kept.old) <= 20
 
 
 def test_rows(spark, ranks, reference):
