@@ -1,5 +1,8 @@
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from textloom.llm import url_filter as u
 
 
@@ -37,13 +40,98 @@ def test_templates_judge_pages_without_a_rule(spark):
     assert got[n - 3].rule is None and got[n - 3].purity > 0.75 and got[n - 3].template == "/spam/*"
 
 
-def test_alike_branches_are_merged(spark):
-    # a, b and c are blocked alike; z, with the same number of pages as they have together, differs from all its siblings
-    def top_level(rules, urls):
-        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-        return {r.template.split("/")[1] for r in u.judge(df, rules).collect()}
+def general(segment):
+    if re.search(u.HEXADECIMAL, segment) and re.search("[0-9]", segment):
+        return "*"
+    return re.sub("[0-9]+", "*", re.sub(u.SLUG, "*", segment))
+
+
+def brute_tree(pages, rules, z=u.Z, rare=u.RARE):
+    """{(host, segments): template}, a node at a time. pages: (host, segments, verdict or None)."""
+    out = {}
+
+    def grow(host, above, level, rows):
+        ends = [r for r in rows if len(r[0]) == level]
+        out.update({(host, r[0]): above or "/" for r in ends})
+        kids = {}
+        for r in rows:
+            if len(r[0]) > level:
+                kids.setdefault(r[0][level], []).append(r)
+        count = {k: (len(v), sum(x[1] is not None for x in v), sum(x[1] == "block" for x in v)) for k, v in kids.items()}
+        rates = sorted({b / c for _, c, b in count.values() if c})
+        kin, names, total = {}, {}, {r: [sum(x) for x in zip(*[(c, b) for _, c, b in count.values() if c and b / c == r])] for r in rates}
+        for i, r in enumerate(rates):
+            kin[r] = kin[rates[i - 1]] if i else 1
+            if i:
+                (c0, b0), (c1, b1) = total[rates[i - 1]], total[r]
+                p = (b0 + b1) / (c0 + c1)
+                kin[r] += r - rates[i - 1] > z * (p * (1 - p) * (1 / c1 + 1 / c0)) ** 0.5
+        blank = sum(n for n, c, _ in count.values() if not c)
+        for k, (n, c, b) in count.items():
+            if c:
+                alike = [x for x, (_, c2, b2) in count.items() if c2 and kin[b2 / c2] == kin[b / c]]
+                names[k] = k if len(alike) == 1 else f"*{kin[b / c]}"
+            else:
+                names[k] = "~" if n * rare < blank else k
+        joined = {}
+        for k, v in kids.items():
+            if count[k][1]:
+                joined.setdefault(names[k], []).extend(v)
+            else:
+                out.update({(host, r[0]): f"{above}/{names[k]}" for r in v})
+        for name, v in joined.items():
+            grow(host, f"{above}/{name}", level + 1, v)
+
+    for host in {h for h, _, _ in pages}:
+        grow(host, "", 0, [(s, v) for h, s, v in pages if h == host])
+    return out
+
+
+def test_tree_against_a_brute_force_version(spark):
+    r = random.Random(5)
+    rules = tuple((f"h{h}.com/{c}/", "block" if r.random() < 0.5 else "allow") for h in range(3) for c in "abcdef") + tuple((f"h{h}.com/{c}/{k}/x", "block") for h in range(3) for c in "abcdef" for k in range(3))
+    names = ["a", "b", "c", "d", "e", "f", "g", "0", "1", "2", "x1", "x22", "0f0a7c33d1", "how-to-do-this.html", "deadbeef"]
+    urls = [f"http://h{r.randrange(3)}.com/" + "/".join(r.choice(names) for _ in range(r.randrange(5))) for _ in range(1200)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: x for x in u.judge(df, rules, rare=6).collect()}
+    pages = []
+    for i, x in enumerate(urls):
+        host, path = x.split("://")[1].split("/", 1)
+        segments = tuple(general(s) for s in path.split("/") if s)
+        fits = [(p, v) for p, v in rules if host == p.split("/")[0] and f"/{path}".startswith("/" + p.split("/", 1)[1])]
+        pages.append((host, segments, max(fits, key=lambda f: len(f[0]), default=(None, None))[1]))
+    want = brute_tree(pages, rules, rare=6)
+    assert {i: got[i].template for i in got} == {i: want[h, s] for i, (h, s, _) in enumerate(pages)}
+    leaf, labelled = {}, [v for _, _, v in pages if v]
+    for h, s, v in pages:
+        leaf.setdefault((h, want[h, s]), []).append(v)
+    for i, (h, s, v) in enumerate(pages):
+        known = [x for x in leaf[h, want[h, s]] if x]
+        purity = (known.count("block") + u.STRENGTH * labelled.count("block") / len(labelled)) / (len(known) + u.STRENGTH)
+        assert abs(got[i].purity - purity) < 1e-9 and got[i].verdict == (v or ("block" if len(known) >= u.LEAST and purity >= u.REJECT else "allow"))
 
+
+def top_level(spark, rules, urls):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {r.template.split("/")[1] for r in u.judge(df, rules).collect()}
+
+
+def test_alike_branches_are_merged(spark):
+    # a, b and c are blocked alike; z differs from each of them
     blocked = tuple((f"h.com/{c}/1", "block") for c in "abc")
     urls = [f"http://h.com/{c}/1{i}" for c in "abc" for i in range(10)]
-    assert top_level(blocked, urls) == {"*"}
-    assert "z" in top_level((*blocked, ("h.com/z/", "allow")), urls + [f"http://h.com/z/{i}" for i in range(30)])
+    assert top_level(spark, blocked, urls) == {"*1"}
+    assert top_level(spark, (*blocked, ("h.com/z/", "allow")), urls + [f"http://h.com/z/{i}" for i in range(30)]) == {"z", "*2"}
+
+
+def test_two_kinds_of_branches_are_two(spark):
+    # four branches blocked for the most part beside four that are allowed: each kind is one branch
+    rules = tuple((f"h.com/{c}/", "block") for c in "abcd") + tuple((f"h.com/{c}/9", "allow") for c in "abcd") + tuple((f"h.com/{c}/", "allow") for c in "wxyz")
+    urls = [f"http://h.com/{c}/{9 if i == 0 else 1}{i}" for c in "abcd" for i in range(20)] + [f"http://h.com/{c}/{i}" for c in "wxyz" for i in range(20)]
+    assert top_level(spark, rules, urls) == {"*1", "*2"}
+
+
+def test_variable_segments(spark):
+    urls = ["http://h.com/item/3f2a9c0d11", "http://h.com/item/6fa459ea-ee8a-3ca4-894e-db77e160355e", "http://h.com/item/how-to-win-often.html", "http://h.com/item/12.html", "http://h.com/item/deadbeef"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").select(u.general_path(u.path_of(F.col("url"))).alias("s"), "page_id")
+    assert [r.s[1] for r in df.orderBy("page_id").collect()] == ["*", "*", "*.html", "*.html", "deadbeef"]

@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables not deleted yet.
+_written: dict[str, SparkSession] = {}
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -34,15 +35,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/textloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._textloom_path = path
+    _written[path] = spark
+    return read
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what `written` wrote, once nothing reads it any more: all that was made of it must have been written itself."""
+    for table in tables:
+        path = table._textloom_path
+        _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _remove() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone by now; the folder is the cluster's to clear
             return
