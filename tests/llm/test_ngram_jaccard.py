@@ -87,3 +87,34 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+def test_families_that_share_passages_are_not_paired(spark, monkeypatch):
+    # near copies of two texts that have three tenths in common: all 300 * 300 pairs are out of the question, and none is made
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(70)]
+    rows = []
+    for family in "ab":
+        base = [f"{family}{i}" for i in range(80)] + passage
+        for _ in range(300):
+            t = list(base)
+            t[r.randrange(80)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    seen, plain = [], ngram_jaccard.verified
+    monkeypatch.setattr(ngram_jaccard, "verified", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    assert run(spark, rows) == [(i, 146, 0 if i < 300 else 300) for i in range(600)]
+    assert sum(seen) < 20_000
+
+
+def test_hashed_words():
+    import pyarrow as pa
+
+    from textloom.llm import meeting
+
+    texts = ["", None, " a  b\tA\x0b", "é É x", "b", "long" * 400_000 + " a", " ", "a"]
+    words, cuts = meeting.hashed_words(pa.array(["skipped", *texts]).slice(1))
+    split = [(t or "").encode().lower().split() for t in texts]
+    assert list(cuts) == [sum(map(len, split[:i])) for i in range(len(split) + 1)]
+    flat = [w for s in split for w in s]
+    assert len(set(zip(flat, words.tolist()))) == len(set(flat)) == len(set(words.tolist()))
+    assert [list(h) for h in meeting.rolled_texts(words, cuts, 2)] == [list(meeting.rolled(words[a:z], 2)) for a, z in zip(cuts[:-1], cuts[1:])]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.storage import written
+from textloom.llm.storage import dropped, written
 
 
 def _by(df: DataFrame, key: str, least: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: u and what is below it hang on the smallest of these
         small = _by(large, "u", large.groupBy("u").agg(F.min("v").alias("m")))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = written(small, "small")
+        old, e = e, written(small, "small")
+        dropped(old, large)
         after = mark(e)
         if after == before:
             break

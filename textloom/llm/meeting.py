@@ -16,20 +16,66 @@ from pyspark.sql import functions as F
 LOAD = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-
-class WordHashes(dict):
-    """64-bit hashes of words, those seen kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 150_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Bytes hashed at a time.
+PIECE = 1 << 20
+_rng = np.random.default_rng(77)
+_BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
+_FACTOR = int(_rng.integers(1, 1 << 63)) * 2 + 1
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_powers: dict[str, np.ndarray] = {}
+
+
+def _powers_of(factor: int) -> np.ndarray:
+    out = np.ones(PIECE + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        out[1:] = np.uint64(factor)
+        return np.multiply.accumulate(out)
+
+
+def hashed_words(column) -> tuple[np.ndarray, np.ndarray]:
+    r"""Of an Arrow column of texts: 64-bit hashes of all their words (between [\x20\x09-\x0D], A-Z in lower case), and where each text's
+    begin (and the end). A word's hash is a polynomial over its bytes' random values, taken for all words at once from running sums."""
+    import xxhash
+
+    column = column.fill_null("") if column.null_count else column
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, "<i4" if str(column.type) == "string" else "<i8")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    text = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if not len(text):
+        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+    space = _SPACE[text]
+    edge = np.zeros(len(text) + 1, bool)  # a text begins here
+    edge[offsets] = True
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]] ) | ~space & edge[:-1])
+    ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]]) | ~space & edge[1:]) + 1
+    if not _powers:
+        _powers.update(up=_powers_of(_FACTOR), down=_powers_of(pow(_FACTOR, -1, 1 << 64)))
+    up, down = _powers["up"], _powers["down"]
+    out, i = np.empty(len(starts), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while i < len(starts):
+            lo = starts[i]
+            j = int(np.searchsorted(ends, lo + PIECE, side="right"))
+            if j <= i:  # a word longer than a piece
+                out[i] = xxhash.xxh3_64_intdigest(text[lo : ends[i]].tobytes().lower())
+                i += 1
+                continue
+            some = text[lo : ends[j - 1]]
+            sums = np.zeros(len(some) + 1, np.uint64)
+            np.cumsum(_BYTES[some] * up[: len(some)], out=sums[1:])
+            a, z = starts[i:j] - lo, ends[i:j] - lo
+            out[i:j] = mixed((sums[z] - sums[a]) * down[a] + (z - a).astype(np.uint64) * _MIX)
+            i = j
+    return out, np.searchsorted(starts, offsets)
+
+
+def slices(batches, rows: int = 500):
+    """The batches in parts of at most `rows` rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -53,6 +99,13 @@ def rolled(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(h)
 
 
+def rolled_texts(words: np.ndarray, cuts: np.ndarray, k: int):
+    """For each text, `rolled` of its words: those of many texts are rolled together."""
+    together = rolled(words, k) if len(words) >= k else np.zeros(0, np.uint64)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield together[lo : hi - k + 1] if hi - lo >= k else rolled(words[lo:hi], k)
+
+
 def buckets_for(hashes: int) -> int:
     return max(24, -(-hashes // LOAD))
 
