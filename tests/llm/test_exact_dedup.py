@@ -33,3 +33,13 @@ def test_keeps_columns_and_empty_table(spark):
     assert exact_dedup.deduplicate(df).columns == df.columns
     assert {r.doc_id for r in exact_dedup.deduplicate(df).collect()} == {3, 9, 1, 4, 6, None}
     assert exact_dedup.mark(df.limit(0)).count() == 0
+
+
+def test_any_column_names(spark):
+    names = ["__id", "__both", "__keep", "__row", "__raw", "__text", "__key", "kept", "Keep_Id"]
+    df = spark.createDataFrame([(2, "a  b", *names), (1, "a b", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = exact_dedup.mark(df)
+    assert out.columns == ["doc_id", "text", *names[:-2], "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted((r.doc_id, r["__both"], r.keep_id, r.kept) for r in out.collect()) == [(1, "__both", 1, True), (2, "__both", 1, False)]
+    stay = exact_dedup.deduplicate(df)
+    assert stay.columns == df.columns and [tuple(r) for r in stay.collect()] == [(1, "a b", *names)]

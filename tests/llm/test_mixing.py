@@ -52,3 +52,15 @@ def test_empty_and_textless(spark):
     assert mixing.replicate(df).count() == 0
     df = spark.createDataFrame([(i, "a", None) for i in range(500)], "doc_id long, source string, text string")
     assert 400 < mixing.replicate(df, {"a": 1.0}).count() < 600
+
+
+def test_any_column_names_and_very_many_copies(spark):
+    names = ["__class", "__u", "__rate", "__copy", "__n", "__row", "__block", "rate", "Copy"]
+    df = spark.createDataFrame([(i, "b" if i else "a", "0" * (1 if i else 100_000), *names) for i in range(5)], "doc_id long, source string, text string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.replicate(df, {"a": 0.5, "b": 0.5})
+    assert out.columns == ["doc_id", "source", "text", *names[:-2], "copy", "n_copies", "rate", "shuffle_key"]
+    got = out.select("doc_id", "copy", "n_copies", "__n").collect()
+    for i in range(1, 5):
+        copies = sorted(r.copy for r in got if r.doc_id == i)
+        assert len(copies) > 10_000 and copies == list(range(1, len(copies) + 1)) and {(r.n_copies, r["__n"]) for r in got if r.doc_id == i} == {(len(copies), "__n")}
+    assert mixing.mixed(df).columns == df.columns

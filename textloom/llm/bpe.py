@@ -9,7 +9,7 @@ rebuilt from the edit on, and as soon as as many successive entries as the longe
 Which tokens end at a byte is told by an automaton over the vocabulary, the longest first, so no other slices of the text are tried.
 
 Text is cut by the pattern first, and each match is encoded by itself; a match that is a token as a whole is that token. Matches
-recur, so each worker remembers those that it has encoded, up to a bound: the result can't change by that.
+recur, so a task remembers those that it has encoded, up to a bound: the result can't change by that.
 
 Defined cases. Null counts as empty; an empty text has no ids. Texts are encoded whole, in slices of matches, so a long text needs
 memory for itself and its ids. Rows are independent: repeated rows repeat their result; the input's other columns are dropped.
@@ -24,11 +24,12 @@ from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm import meeting
 from textloom.llm.storage import small_batches
 
 #: Entries of a worker's memory of matches, and of that of pairs of tokens, in each of two generations.
 CACHED, SLICE = 150_000, 200_000
-#: A worker's encoder, kept from task to task with what it remembers.
+#: A worker's encoder, kept from task to task without what it remembers.
 _encoders: dict[str, Encoder] = {}
 
 
@@ -258,6 +259,9 @@ class Encoder:
         self.v, self.pattern = Vocabulary(ranks), regex.compile(pattern)
         self.tables, self.pieces = PrefixTables(self.v), Remembered()
 
+    def forget(self) -> None:
+        self.pieces, self.v._valid = Remembered(), Remembered()
+
     def packed_piece(self, piece: str) -> bytes:
         ids = self.encode_piece(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -370,6 +374,8 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             n, a, b, all_ids = count, [h.hexdigest() for h in of_ids], [h.hexdigest() for h in of_bytes], [b"".join(k) for k in kept]
             columns = {"doc_id": ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
             yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(all_ids, pa.binary())} if with_ids else {}))
+        encoder.forget()
+        meeting.released()
 
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(encoded, schema)

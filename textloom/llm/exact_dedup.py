@@ -41,8 +41,10 @@ OWN = ("keep_id", "group_size", "kept", "text_sha256")
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = content_hash, own: tuple[str, ...] = OWN) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256, or as `own` names them. hashed: the content hash, another one in tests of collisions."""
-    text = normalised(F.col(text_col))
-    texts = docs.select(hashed(text).alias("__key"), text.alias("__text"), F.col(id_col).alias("__id")).groupBy("__key", "__text").agg(F.min("__id").alias("__keep"), F.count("*").alias("__size"))
+    # the caller's columns travel as one struct, so no name of theirs can clash with one of ours
+    kept = [c for c in docs.columns if c.lower() not in own]
+    docs, text = docs.select(F.struct(*[docs[c] for c in kept]).alias("__row"), docs[id_col].alias("__id"), docs[text_col].alias("__raw")), normalised(F.col("__raw"))
+    texts = docs.select(hashed(text).alias("__key"), text.alias("__text"), "__id").groupBy("__key", "__text").agg(F.min("__id").alias("__keep"), F.count("*").alias("__size"))
     groups = (
         texts.select("__key", F.unhex(F.sha2("__text", 256)).alias("__sha"), "__keep", "__size")
         .groupBy("__key", "__sha")
@@ -52,15 +54,14 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed
     # joined on both digests in one column: the groups are then dealt anew like the documents, and as no aggregation stands between
     # the shuffle and the join, adaptive execution can split a hot group's documents
     groups = groups.select(F.concat("__key", "__sha").alias("__both"), "__keep", "__size")
-    kept = [c for c in docs.columns if c not in own]
-    keyed = docs.select(*[docs[c] for c in kept], F.col(id_col).alias("__id"), F.concat(hashed(text), F.unhex(F.sha2(text, 256))).alias("__both"))
+    keyed = docs.select("__row", "__id", F.concat(hashed(text), F.unhex(F.sha2(text, 256))).alias("__both"))
     added = (F.col("__keep"), F.col("__size"), F.col("__id").eqNullSafe(F.col("__keep")), F.lower(F.hex(F.substring("__both", -32, 32))))
-    return keyed.join(groups, "__both").select(*[keyed[c] for c in kept], *[c.alias(n) for c, n in zip(added, own, strict=True)])
+    return keyed.join(groups, "__both").select(*[F.col("__row")[c].alias(c) for c in kept], *[c.alias(n) for c, n in zip(added, own, strict=True)])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns of docs."""
-    return mark(docs, id_col, text_col, own=("__keep_id", "__group_size", "__kept", "__text_sha256")).where("__kept").select(*docs.columns)
+    return mark(docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text")), "id", "text").where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

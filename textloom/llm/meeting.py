@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashes a bucket, about.
-LOAD = 400_000
+LOAD = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _rng = np.random.default_rng(77)
 _BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 _BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
@@ -71,11 +71,23 @@ def hashed_words(column) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(starts, offsets)
 
 
-def slices(batches, rows: int = 500):
-    """The batches in parts of at most `rows` rows."""
+def slices(batches, rows: int = 250):
+    """The batches in parts of at most `rows` rows; at the end, what the task has freed goes back to the system, as workers are kept for later tasks."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+    released()
+
+
+def released() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -24,6 +24,8 @@ OTHER = "other"
 #: The production mixture: shares of bytes. The hot source is cut to a quarter, three are raised, all others keep the rest.
 WEIGHTS = {"src0": 0.25, "src1": 0.08, "src2": 0.08, "src3": 0.08, OTHER: 0.51}
 SEED, BLOCK = 20, 16.0
+#: Copies made at a time of one document.
+SPLIT = 10_000
 #: The columns that `replicate` adds.
 OWN = ("copy", "n_copies", "rate", "shuffle_key")
 
@@ -64,26 +66,32 @@ def rates(docs: DataFrame, weights: dict[str, float], block: float = BLOCK, sour
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, block: float = BLOCK, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", own: tuple[str, ...] = OWN) -> DataFrame:
     """docs, each as often as drawn, with copy (from 1), n_copies, rate and shuffle_key, or as `own` names them, in global random order."""
     weights = weights or WEIGHTS
-    kept = [c for c in docs.columns if c not in own]
+    # the caller's columns travel as one struct, so no name of theirs can clash with one of ours
+    kept = [c for c in docs.columns if c.lower() not in own]
+    docs = docs.select(F.struct(*[docs[c] for c in kept]).alias("__row"), docs[id_col].alias("__id"), docs[source_col].alias("__source"), docs[text_col].alias("__text"))
+    id_col, source_col, text_col = "__id", "__source", "__text"
     table = F.broadcast(rates(docs, weights, block, source_col, text_col).select(F.col("class").alias("__class"), F.col("rate").alias("__rate"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf")))
     below = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(seed, id_col, j)))
     count = F.when(F.col("__draws") == 1, F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("__draws") - 1), F.lit(0), lambda acc, j: acc + below(j)))
     drawn = (
-        docs.select(*kept, class_of(F.col(source_col), weights).alias("__class"), uniform(seed, id_col, F.lit(0)).alias("__u"))
+        docs.select("__row", id_col, class_of(F.col(source_col), weights).alias("__class"), uniform(seed, id_col, F.lit(0)).alias("__u"))
         .join(table, "__class")
         .withColumn("__n", count)
         .where("__n > 0")
-        .select(*kept, "__n", "__rate", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
+        .select("__row", id_col, "__n", "__rate", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / SPLIT).cast("int"))).alias("__block"))
+        # a document repeated without end is exploded block by block, so that no array grows with its count
+        .select("__row", id_col, "__n", "__rate", F.explode(F.sequence(F.col("__block") * SPLIT + 1, F.least(F.col("__n"), (F.col("__block") + 1) * SPLIT))).alias("__copy"))
     )
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("__copy").cast("string"))), 1, 15), 16, 10).cast("long")
     added = (F.col("__copy"), F.col("__n"), F.col("__rate"), key)
-    out = drawn.select(*kept, *[c.alias(n) for c, n in zip(added, own, strict=True)])
+    out = drawn.select(*[F.col("__row")[c].alias(c) for c in kept], *[c.alias(n) for c, n in zip(added, own, strict=True)])
     return out.repartition(own[3]).sortWithinPartitions(own[3], own[0])
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The replicated documents in global random order, with the columns of docs."""
-    return replicate(docs, weights, own=("__c", "__n_copies", "__r", "__shuffle_key")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
+    return replicate(rows, weights).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -171,6 +171,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                         found |= 100 * shared >= percent * (n + len(h) - shared)
                     links += [(x, y) for y in np.unique(of[found]).tolist()]
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        meeting.released()
 
     found = rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(compared, "a long, b long")
     found = written(found, "verified")
@@ -224,7 +225,7 @@ def shared_shingles(sent: DataFrame, total: int, hot: int) -> DataFrame:
         return pa.RecordBatch.from_pydict({"hot": pa.array(k, pa.int64()), "token": pa.nulls(len(ids), pa.int64()), "node": pa.array(ids, pa.int64()), "component": pa.nulls(len(ids), pa.int64())})
 
     def sending(batches):
-        for b in batches:
+        for b in meeting.slices(batches, 500):
             parts = [_unpacked48(x) for x in b.column(2).to_pylist()]
             sizes = [len(p) for p in parts]
             if not sum(sizes):
@@ -275,6 +276,8 @@ def shared_shingles(sent: DataFrame, total: int, hot: int) -> DataFrame:
         for lo in range(0, int(pick.sum()), 100_000):
             at = np.flatnonzero(pick)[lo : lo + 100_000]
             yield pa.RecordBatch.from_pydict({"hot": pa.array(np.zeros(len(at), np.int64)), "token": pa.array(tokens[at].astype(np.int64)), "node": pa.array(node[at], pa.int64()), "component": pa.array(component[at], pa.int64())})
+        del rows, all_, more, tokens, node, component, order
+        meeting.released()
 
     rows = meeting.dealt(sent.select("node", "component", "sent").mapInArrow(sending, meeting.schema(["node", "ahead"])), buckets)
     return rows.mapInArrow(meeting_up, "hot long, token long, node long, component long")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm import meeting
 from textloom.llm.storage import small_batches
 
 SAMPLE, BUCKETS, RANK, THRESHOLD, SEED = 3000, 1 << 15, 8, 0.3, 11
@@ -55,8 +56,8 @@ class Featuriser:
         return b
 
     def _shape(self, word: str) -> str:
-        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40]]
-        return "\x00" + "".join(c for i, c in enumerate(kinds) if not i or c != kinds[i - 1])[:12]
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
+        return "\x00" + "".join(c for i, c in enumerate(kinds) if not i or c != kinds[i - 1])
 
     def __call__(self, text: str | None, stated: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text = text or ""
@@ -83,9 +84,11 @@ class Featuriser:
             seen[65:91].sum() / size * 5, seen[48:58].sum() / size * 5, np.log1p(symbols) / 3, symbols / size * 5, np.log1p(seen[124]) / 3, np.log1p(seen[33]) / 3, seen[128:].sum() / size * 2,
             seen[46] / max(1, n) * 3, seen[44] / max(1, n) * 3, np.log1p(seen[10]) / 3, len(set(lines)) / max(1, len(lines)), np.log1p(max(map(len, count), default=0)) / 4, odd / max(1, n), caps / max(1, n), np.log1p(max(0, stated if stated is not None else len(text))) / 7,
         ], np.float32)
-        own, k = np.unique(np.concatenate([ids, np.array([at[s] if s in at else self._bucket(s) for s in shapes for _ in range(min(shapes[s], 50))], np.int64)]), return_counts=True)
+        of_shapes = np.fromiter((at[s] if s in at else self._bucket(s) for s in shapes), np.int64, len(shapes))
+        own, back = np.unique(np.concatenate([ids, of_shapes]), return_inverse=True)
+        k = np.bincount(back, np.concatenate([np.ones(n), np.fromiter(shapes.values(), float, len(shapes))]), len(own))
         x = np.log1p(k).astype(np.float32)
-        return own.astype(np.int32), x / max(1e-6, float(np.sqrt((x * x).sum()))), np.clip(stats, 0, 6)
+        return own.astype(np.int32), x / max(1e-6, float(np.sqrt((x * x).sum()))), stats
 
 
 class FactorisationMachine:
@@ -188,6 +191,8 @@ def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = TH
             numbers = batch.column(stated) if stated is not None else None
             scores = [1 / (1 + np.exp(-np.clip(m.margin(*_joined(f(t.as_py(), numbers[k].as_py() if numbers is not None else None), buckets)), -30, 30))) for k, t in enumerate(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, own[1]])
+        f.at.clear()
+        meeting.released()
 
     schema = T.StructType([docs.schema[c] for c in kept]).add(own[1], "double")
     out = docs.select(*[docs[c] for c in kept]).mapInArrow(scored, schema)
