@@ -1,7 +1,10 @@
-"""Distances between strings and vectors, as higher-order functions: no Python in the way of a scan."""
+"""Distances between strings and vectors. The weighted distance is an Arrow function: one dynamic program for a whole batch of pairs, a cell
+of all its tables at a time. The others are higher-order functions."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,28 +23,60 @@ def cost_map(costs: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for k, v in sorted(costs.items()) for x in (k, v)])
 
 
-def characters(c: Column) -> Column:
-    return F.filter(F.split(c, ""), lambda x: x != "")
-
-
-def weighted_distance(a: Column, b: Column, costs: dict[str, float] | Column = STATIC_COSTS) -> Column:
-    """Levenshtein distance without regard to case; insertion and deletion cost 1, a substitution what costs say.
-
-    One row of the table is an array; outer fold over a's characters, inner fold over b's.
-    """
-    table = cost_map(costs) if isinstance(costs, dict) else costs
-    x, y = characters(F.lower(a)), characters(F.lower(b))
-    zero = F.transform(F.sequence(F.lit(0), F.size(y)), lambda j: j.cast("double"))
-
-    def step(row: Column, ch: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            other = F.get(y, j - 1)
-            sub = F.when(ch == other, F.lit(0.0)).otherwise(F.coalesce(F.try_element_at(table, F.concat(F.least(ch, other), F.lit(","), F.greatest(ch, other))), F.lit(1.0)))
-            return F.concat(done, F.array(F.least(F.get(row, j) + 1, F.get(done, j - 1) + 1, F.get(row, j - 1) + sub)))
-
-        return F.when(F.size(y) > 0, F.aggregate(F.sequence(F.lit(1), F.size(y)), F.array(F.get(row, F.lit(0)) + 1), cell)).otherwise(F.array(F.get(row, F.lit(0)) + 1))
-
-    return F.element_at(F.aggregate(x, zero, step), -1)
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, a row a word, 0 behind its end; and the lengths."""
+    size = np.array([len(w) for w in words])
+    wide = np.array(words, dtype=f"<U{max(1, int(size.max(initial=0)))}")
+    return wide.view(np.uint32).reshape(len(words), -1), size
+
+
+def distances(a: list[str], b: list[str], costs: np.ndarray, together: int = 4096) -> np.ndarray:
+    """Weighted distances of pairs of words. costs: of substitutions between the first 128 characters; any other costs 1."""
+    out = np.zeros(len(a))
+    # pairs of like length share a table, so that a long word makes no other one's larger
+    order = sorted(range(len(a)), key=lambda i: max(len(a[i]), len(b[i])))
+    for lo in range(0, len(order), together):
+        at = np.array(order[lo : lo + together])
+        x, nx = _letters([a[i] for i in at])
+        y, ny = _letters([b[i] for i in at])
+        row = np.repeat(np.arange(y.shape[1] + 1, dtype=float)[:, None], len(at), 1)  # by place in b, then pair
+        found = np.where(nx == 0, ny, 0).astype(float)
+        for i in range(x.shape[1]):
+            ch, done = x[:, i], np.empty_like(row)
+            done[0] = i + 1
+            for j in range(y.shape[1]):
+                other = y[:, j]
+                known = costs[np.minimum(ch, 127), np.minimum(other, 127)]
+                sub = np.where(ch == other, 0.0, np.where((ch < 128) & (other < 128), known, 1.0))
+                done[j + 1] = np.minimum(np.minimum(row[j + 1] + 1, done[j] + 1), row[j] + sub)
+            row = done
+            ends = np.flatnonzero(nx == i + 1)
+            found[ends] = row[ny[ends], ends]
+        out[at] = found
+    return out
+
+
+def cost_table(costs: dict[str, float]) -> np.ndarray:
+    table = np.ones((128, 128))
+    for pair, cost in costs.items():
+        x, y = map(ord, pair.split(","))
+        table[x, y] = table[y, x] = cost
+    return table
+
+
+def weighted_distance(a: Column, b: Column, costs: dict[str, float] = STATIC_COSTS) -> Column:
+    """Levenshtein distance without regard to case; insertion and deletion cost 1, a substitution what costs say. Null where either is.
+
+    Marked as non-deterministic so that a filter on it isn't pushed below it, which would compute it twice."""
+    table = cost_table(costs)
+
+    def whole_batch(x: pd.Series, y: pd.Series) -> pd.Series:
+        given = (x.notna() & y.notna()).to_numpy()
+        out = np.full(len(x), np.nan)
+        out[given] = distances(x[given].tolist(), y[given].tolist(), table)
+        return pd.Series(out, dtype="Float64").where(given)
+
+    return F.pandas_udf(whole_batch, "double").asNondeterministic()(F.lower(a), F.lower(b))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

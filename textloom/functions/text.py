@@ -12,7 +12,7 @@ READER_TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
 PROCESS_TOKEN = "[a-z0-9.]+"
 SPACE = r"[ \t\n\x0B\f\r ﻿  ]"
 DIGRAPHS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("nn", "m"), ("ii", "u"), ("li", "h"), ("ri", "n"))
-INDEX_FROM, INDEX_TO = "013568i", "oleSgbl".lower()
+INDEX_FROM, INDEX_TO = "013568i", "olesgbl"
 UNITS = ("mg", "mcg", "g", "ml", "units", "unit", "iu", "%", "mmol", "meq", "µg")
 DIGIT_LOOKALIKES = {"O": "0", "o": "0", "I": "1", "l": "1"}
 MIN_SENTENCE = 5

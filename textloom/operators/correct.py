@@ -1,8 +1,8 @@
 """Correction of damaged words against a vocabulary: blocking join, weighted distance, signals, evidence gate, flags, roll-ups.
 
 The plan follows the guards: tokens that a rule or a vocabulary lookup settles never reach the fuzzy part, and each distinct token is
-corrected once and joined back. Candidates come from an inverted index of keys (equi-joins, no cross join); the distance is a
-higher-order function in the JVM; the ranking a window per query, limited before its shuffle.
+corrected once and joined back. Candidates come from an inverted index of keys (equi-joins, no cross join); the distance is
+computed once a pair, for whole batches of pairs; the ranking a window per query, limited before its shuffle.
 """
 
 from __future__ import annotations

@@ -13,10 +13,6 @@ PHONE = r"(?:\+965[\s-]?)?\b\d{4}[\s-]?\d{4}\b"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
-def token(kind: str, n: Column) -> Column:
-    return F.format_string(f"[[{kind}_%04d]]", n)
-
-
 def redact(text: Column) -> Column:
     """text with every identifier replaced by its type."""
     t = F.regexp_replace(text, CIVIL, "[[CID]]")

@@ -23,7 +23,7 @@ def _vocab(spark, sf_dir):
 def _noisy(vocab):
     """word, query: look-alike digits, or m as rn, or a letter dropped."""
     k = F.ascii(F.substring("word", 2, 1)) % 3
-    q = F.when(k == 0, F.translate("word", NOISE_FROM, NOISE_TO)).when(k == 1, F.replace(F.col("word"), F.lit("m"), F.lit("rn"))).otherwise(F.concat(F.substring("word", 1, 2), F.substring("word", 4, 99)))
+    q = F.when(k == 0, F.translate("word", NOISE_FROM, NOISE_TO)).when(k == 1, F.replace(F.col("word"), F.lit("m"), F.lit("rn"))).otherwise(F.concat(F.substring("word", 1, 2), F.expr("substring(word, 4)")))
     return vocab.select("word", q.alias("query"))
 
 
@@ -94,7 +94,6 @@ def correction_flags(spark, sf_dir):
 def line_confidence(spark, sf_dir):
     """Parts' names, damaged word by word, corrected as lines."""
     v = _vocab(spark, sf_dir)
-    words = c.correct_words(_noisy(v).select("query"), v)
     line = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_id"), F.translate(F.lower("p_name"), NOISE_FROM, NOISE_TO).alias("text"))
     tokens = line.select(F.explode(F.split("text", r"\s+")).alias("query")).distinct()
     words = c.correct_words(tokens, v)
@@ -110,7 +109,7 @@ def doc_decision(spark, sf_dir):
 
 def scalar_fixes(spark, sf_dir):
     n = _noisy(_vocab(spark, sf_dir))
-    up = F.concat(F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 99))
+    up = F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))
     return n.select("word", "query", tx.fix_digraphs(F.col("query")).alias("digraphs"), tx.index_form(F.col("query")).alias("form"), tx.normalize_digits(F.upper("query")).alias("digits"), tx.preserve_case(F.upper("query"), F.col("word")).alias("upper_case"), tx.preserve_case(up, F.upper("word")).alias("title_case"))
 
 
@@ -134,7 +133,7 @@ UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 V = r"""vw AS (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part),
 vd AS (SELECT unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1)) AS word FROM documents),
 v AS (SELECT DISTINCT word FROM (SELECT word FROM vw UNION ALL SELECT word FROM vd GROUP BY word HAVING count(*) >= 40) WHERE length(word) >= 3 AND regexp_matches(word, '^[a-z]+$')),
-n AS (SELECT word, CASE ascii(substr(word, 2, 1)) % 3 WHEN 0 THEN translate(word, 'oilsebg', '011538g') WHEN 1 THEN replace(word, 'm', 'rn') ELSE substr(word, 1, 2) || substr(word, 4, 99) END AS query FROM v)"""
+n AS (SELECT word, CASE ascii(substr(word, 2, 1)) % 3 WHEN 0 THEN translate(word, 'oilsebg', '011538g') WHEN 1 THEN replace(word, 'm', 'rn') ELSE substr(word, 1, 2) || substr(word, 4) END AS query FROM v)"""
 _form = lambda x: f"translate(regexp_replace(lower({x}), '[^a-z0-9]', '', 'g'), '013568i', 'olesgbl')"
 _dels = lambda f: f"list_distinct(list_transform(range(1, length({f}) + 1), lambda i: substr({f}, 1, i - 1) || substr({f}, i + 1, 999)))"
 _shape = lambda q, qf, w, wf: f"(CASE WHEN substr({q},1,1) = substr({w},1,1) THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN right({q},1) = right({w},1) THEN 2 ELSE 0 END + CASE WHEN substr({qf},1,2) = substr({wf},1,2) THEN 2 ELSE 0 END + CASE WHEN right({qf},2) = right({wf},2) THEN 1 ELSE 0 END - 0.75::DOUBLE * abs(length({q}) - length({w})))"
