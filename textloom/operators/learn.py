@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.distance import weighted_distance
+from textloom.operators import align
+
 #: Fixed values.
 EXPERIENCE, LEAST_CORRECTIONS, LEAST_COST, CHAIN = 50, 5, 0.05, 0.3
 COLUMN_WEIGHTS = (
@@ -69,3 +72,36 @@ def ema_weight(outcomes: Column, base: float = 1.0) -> Column:
         return F.struct(n.alias("n"), right.alias("right"), F.when(n >= 5, 0.9 * a["w"] + 0.1 * target).otherwise(a["w"]).alias("w"))
 
     return F.aggregate(outcomes, start, step, lambda a: a["w"])
+
+
+def experience_cost(base: Column, n: Column, total: Column) -> Column:
+    """The other profile's cost: it falls exponentially with n, and counts as experience grows to 100 corrections; from ten on."""
+    share = F.least(total / 100, F.lit(1.0))
+    return F.when((n == 0) | (total < 10), base).otherwise(base * (1 - share) + (base * F.exp(-n / 10) + 0.05) * share)
+
+
+def aligned_counts(pairs: DataFrame, ocr: str, confirmed: str, weight: Column | float = 1.0) -> DataFrame:
+    """kind (error, ok), pair (two letters in order, or the letter), n: letters that an alignment puts against each other, whatever the words' lengths; a pair of words counts max(1, round(weight)) times."""
+    times = F.greatest(F.lit(1), F.floor((F.lit(weight) if isinstance(weight, float) else weight) + 0.5)).cast("long")
+    # each distinct pair of words is aligned once
+    distinct = pairs.select(F.lower(ocr).alias("a"), F.lower(confirmed).alias("b"), times.alias("times")).where("a is not null and b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    e = distinct.select("times", F.explode(align.aligned_characters(F.col("a"), F.col("b"))).alias("x")).where("x.kind in ('match', 'substitution')")
+    pair = F.when(F.col("x.kind") == "match", F.col("x.a")).otherwise(F.concat(F.least("x.a", "x.b"), F.lit(","), F.greatest("x.a", "x.b")))
+    return e.select(F.when(F.col("x.kind") == "match", "ok").otherwise("error").alias("kind"), pair.alias("pair"), "times").groupBy("kind", "pair").agg(F.sum("times").alias("n"))
+
+
+def letter_confidence(counts: DataFrame) -> DataFrame:
+    """letter, confidence: the share of a letter's occurrences that were read right, of those with an error in which it takes part."""
+    letters = F.when(F.col("kind") == "ok", F.array("pair")).otherwise(F.array(F.substring("pair", 1, 1), F.substring("pair", 3, 1)))
+    e = counts.select("kind", "n", F.explode(letters).alias("letter"))
+    return e.groupBy("letter").agg((F.sum(F.when(F.col("kind") == "ok", F.col("n")).otherwise(0)) / F.sum("n")).alias("confidence"))
+
+
+def rejected_words(rows: DataFrame, vocab: DataFrame, key: list[str], costs: dict[str, float]) -> DataFrame:
+    """key, word, distance: confirmed words of more than two letters that are unknown, aren't in what was read, and are further than max(0.8 of their letters, 4)
+    from all of that. A learner leaves out the columns (key) that have any. rows: key, ocr, confirmed; vocab: word. Pairs are those of one row's words."""
+    changed = rows.where((F.col("ocr") != "") & (F.col("confirmed") != "") & (F.col("ocr") != F.col("confirmed"))).withColumn("read", F.array_distinct(F.split(F.lower("ocr"), r"\s+")))
+    w = changed.select(*key, "read", F.explode(F.array_distinct(F.split(F.lower("confirmed"), r"\s+"))).alias("word")).where((F.length("word") > 2) & ~F.array_contains("read", F.col("word")))
+    unknown = w.join(vocab.select("word").distinct(), "word", "left_anti")
+    d = unknown.select(*key, "word", F.explode("read").alias("r")).withColumn("distance", weighted_distance(F.col("word"), F.col("r"), costs))
+    return d.groupBy(*key, "word").agg(F.min("distance").alias("distance")).where(F.col("distance") > F.greatest(F.length("word") * 0.8, F.lit(4.0)))
