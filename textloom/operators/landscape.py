@@ -1,7 +1,7 @@
 """Classifiers over feature vectors: diagonal Gaussians by label, templates, votes, rejection, rules between confused labels.
 
-A model is a row a label with array columns, so its size is labels x dimensions whatever the number of vectors; it is broadcast only
-when that is known to be small (`model`'s limit), and joined otherwise on a constant number of salted copies by Spark itself.
+A model is a row a label with array columns, so its size is labels x dimensions whatever the number of vectors. Its rows are counted
+before it is broadcast; beyond LABELS of them Spark deals both sides over tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 VAR_FIRST, VAR_FLOOR, VAR_EPS, GLOBAL_EPS, REJECT_Z = 2.0, 0.1, 1e-8, 1e-6, 5.0
+#: The most labels of a model that is broadcast.
+LABELS = 10_000
 
 
 def fit(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -27,6 +29,11 @@ def model(landscape: DataFrame) -> DataFrame:
     return s.select("label", "n", F.col("d.mu").alias("mus"), F.col("d.v").alias("vars"), F.col("d.var").alias("own_vars"))
 
 
+def beside(m: DataFrame, labels: int = LABELS) -> DataFrame:
+    """A model as the other side of a join with vectors: broadcast if it has `labels` rows at most."""
+    return F.broadcast(m) if m.limit(labels + 1).count() <= labels else m
+
+
 def _fold(x: Column, mus: Column, vars_: Column, term) -> Column:
     zipped = F.arrays_zip(x.alias("x"), mus.alias("m"), vars_.alias("v"))
     return F.transform(zipped, lambda t: term(t["x"].cast("double") - t["m"], t["v"]))
@@ -34,7 +41,7 @@ def _fold(x: Column, mus: Column, vars_: Column, term) -> Column:
 
 def scores(vectors: DataFrame, m: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key, label, score for each label: -1/2 sum (x - mu)^2 / var + 1/2 ln(n + 1)."""
-    pairs = vectors.select(key, F.col(vector).alias("x")).crossJoin(F.broadcast(m.select("label", "n", "mus", "vars")))
+    pairs = vectors.select(key, F.col(vector).alias("x")).crossJoin(beside(m.select("label", "n", "mus", "vars")))
     total = F.aggregate(_fold(F.col("x"), F.col("mus"), F.col("vars"), lambda d, v: d * d / (v + VAR_EPS)), F.lit(0.0), lambda a, b: a + b)
     return pairs.select(key, "label", (-0.5 * total + 0.5 * F.log(F.col("n") + 1)).alias("score"))
 
@@ -50,7 +57,7 @@ def best(scored: DataFrame, key: str = "vec_id") -> DataFrame:
 
 def rejection(vectors: DataFrame, m: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: float = REJECT_Z) -> DataFrame:
     """key, z (the least over labels of the largest |x - mu| / sd), rejected."""
-    pairs = vectors.select(key, F.col(vector).alias("x")).crossJoin(F.broadcast(m.select("label", "mus", "own_vars")))
+    pairs = vectors.select(key, F.col(vector).alias("x")).crossJoin(beside(m.select("label", "mus", "own_vars")))
     worst = F.array_max(_fold(F.col("x"), F.col("mus"), F.col("own_vars"), lambda d, v: F.abs(d) / F.sqrt(v)))
     return pairs.select(key, worst.alias("z")).groupBy(key).agg(F.min("z").alias("z")).withColumn("rejected", F.col("z") > limit)
 
@@ -59,13 +66,13 @@ def templates(vectors: DataFrame, m: DataFrame, key: str = "vec_id", vector: str
     """key, label, cosine with the label's mean vector."""
     from textloom.functions.distance import cosine
 
-    pairs = vectors.select(key, F.col(vector).cast("array<double>").alias("x")).crossJoin(F.broadcast(m.select("label", "mus")))
+    pairs = vectors.select(key, F.col(vector).cast("array<double>").alias("x")).crossJoin(beside(m.select("label", "mus")))
     return pairs.select(key, "label", cosine(F.col("x"), F.col("mus")).alias("cosine"))
 
 
 def nearest_mean(vectors: DataFrame, m: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key, label, L1 distance to the label's mean vector."""
-    pairs = vectors.select(key, F.col(vector).alias("x")).crossJoin(F.broadcast(m.select("label", "mus", "vars")))
+    pairs = vectors.select(key, F.col(vector).alias("x")).crossJoin(beside(m.select("label", "mus", "vars")))
     return pairs.select(key, "label", F.aggregate(_fold(F.col("x"), F.col("mus"), F.col("vars"), lambda d, v: F.abs(d)), F.lit(0.0), lambda a, b: a + b).alias("distance"))
 
 
