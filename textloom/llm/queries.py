@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from textloom.llm import ann, bpe, centroids, exact_dedup, license_scan, mixing, ngram_jaccard, quality, sharding, substring_dedup, url_filter
+from textloom.llm import ann, bpe, centroids, exact_dedup, license_scan, mixing, ngram_jaccard, prefix_trie, quality, sharding, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,5 +14,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
     "op11_centroids": centroids.op11_centroids,
+    "op12_token_files": token_files.op12_token_files,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
-SQL = {"op3_license_scan": license_scan.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op8_mixing": mixing.OP8_SQL, "op10_ngram_jaccard": ngram_jaccard.OP10_SQL, "op11_centroids": centroids.OP11_SQL}
+SQL = {"op3_license_scan": license_scan.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op8_mixing": mixing.OP8_SQL, "op10_ngram_jaccard": ngram_jaccard.OP10_SQL, "op11_centroids": centroids.OP11_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}

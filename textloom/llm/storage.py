@@ -41,6 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return read
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for files that aren't a table; deleted at the end like the tables."""
+    path = f"{shared_folder(spark)}/textloom-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes what `written` wrote, once nothing reads it any more: all that was made of it must have been written itself."""
     for table in tables:
