@@ -14,13 +14,14 @@ unpacks a block at once. Little-endian throughout:
 So any run of ids costs the trailer, the offsets and the blocks that it touches.
 
 Plan. The documents are dealt by ranges of (id, text) and sorted within: one shuffle of the texts, and no file depends on another. A
-task encodes its range as it streams by and holds one block of ids, its words' cache (`CACHED` entries) and 17 bytes a document. It
+task encodes its range as it streams by and holds one block of ids, its words' cache (twice `CACHED` entries at most) and 17 bytes a document. It
 writes a file of its own name and, when that is whole, one row to the manifest, which is a written table: a task that is lost or run
 twice leaves a file that no row names (`clear_strays` deletes such). A file's place among all ids is the sum of the ids of the files
 before, from the manifest, which has one row a file. Reading is one task a file.
 
-Words between plain spaces are encoded by themselves, each distinct one once a cache: the tokenizer drops white space, splits at it
-and normalises letter by letter, so this gives the ids of the whole text (the tests compare). Texts without spaces go through whole.
+Words between plain spaces are encoded by themselves, each distinct one once a cache: where the tokenizer drops white space and splits
+at it, this gives the ids of the whole text (the tests compare). Texts without spaces go through whole, as do all texts with a tokenizer
+that isn't such.
 
 Defined cases. Null text is empty and has the end id only. Rows with a null id come first; rows that repeat an id stand in the order
 of their texts' hashes, and rows that repeat both are alike. Ids of documents are whole numbers of 64 bits at most. An empty table
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from textloom.llm.storage import fresh_folder, written
 
 MAGIC, HEADER, TRAILER = b"TLBITS1\0", struct.Struct("<8sII"), struct.Struct("<QQQ8s")
-BLOCK, END_ID, CACHED, LONGEST = 4096, 1, 200_000, 64
+BLOCK, END_ID, CACHED, LONGEST = 4096, 1, 150_000, 64
 #: Characters of text that are split into words at a time, and ids that are unpacked at a time.
 PART, RUN = 1 << 18, 1 << 20
 MANIFEST = "part int, file string, n_docs long, n_ids long"
@@ -181,29 +182,70 @@ def parts(text: str, size: int = PART) -> Iterator[str]:
 
 
 class Encoder:
-    """Texts to runs of ids. Distinct words are encoded once, up to CACHED of them at a time."""
+    """Texts to runs of ids. A tokenizer that drops white space and splits at it gets each distinct word once, as long as the cache
+    remembers it: two generations of CACHED words, the older one goes when the younger is full. Any other tokenizer gets whole texts."""
+
+    #: A mark that stands between new words, so that many are encoded at once; words with it are encoded by themselves.
+    MARK = "|"
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_str(tokenizer), {}, {}
         self.bits = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        mark = self._ids(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.by_words = self.mark is not None and all(self._ids(x + " " + y).tolist() == [*self._ids(x), *self._ids(y)] for x, y in (("a", "b"), ("", "the"), ("x,", "1 "), ("|", "|")))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't known yet."""
+        plain, found = [w for w in words if self.MARK not in w], {}
+        if plain:
+            ids = self._ids(f" {self.MARK} ".join(plain))
+            cuts = np.flatnonzero(ids == self.mark)
+            starts, stops, data = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)], ids.tobytes()
+            found = {w: data[i:j] for w, i, j in zip(plain, starts, stops, strict=True)}
+        for w in words:
+            if w not in found:
+                found[w] = self._ids(w).tobytes()
+        return found
 
     def runs(self, text: str) -> Iterator[np.ndarray]:
+        if not self.by_words:
+            yield self._ids(text)
+            return
         for part in parts(text):
             words = part.split(" ")
-            new = [w for w in set(words) if w not in self.known]
-            if len(self.known) + len(new) > CACHED:
-                self.known.clear()
-                new = list(set(words))
-            once = {}  # long words are known for this part only
-            for w, ids in zip(new, self._encoded(new), strict=True):
-                (self.known if len(w) <= LONGEST else once)[w] = ids
-            found = map(self.known.__getitem__, words) if not once else (once[w] if w in once else self.known[w] for w in words)
-            yield np.frombuffer(b"".join(found), "<u4")
+            young, old, here, new = self.young, self.old, {}, []
+            for w in set(words):
+                ids = young.get(w)
+                if ids is None:
+                    ids = old.get(w)
+                    if ids is None:
+                        new.append(w)
+                        continue
+                    young[w] = ids
+                here[w] = ids
+            if new:
+                learnt = self._learn(new)
+                here |= learnt
+                young.update(learnt if all(len(w) <= LONGEST for w in new) else {w: ids for w, ids in learnt.items() if len(w) <= LONGEST})
+            if len(young) > CACHED:
+                self.young, self.old = {}, young
+            yield np.frombuffer(b"".join(map(here.__getitem__, words)), "<u4")
+
+
+#: A worker's encoder, kept from task to task.
+_encoder: list = []
+
+
+def encoder_of(tokenizer: str) -> Encoder:
+    if not _encoder or _encoder[0] != tokenizer:
+        _encoder[:] = [tokenizer, Encoder(tokenizer)]
+    return _encoder[1]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block: int = BLOCK, files: int | None = None) -> DataFrame:
@@ -225,7 +267,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
         for batch in batches:
             for part, doc_id, text in zip(*(batch.column(c) for c in ("part", "id", "text")), strict=True):
                 if writer is None:
-                    encoder = Encoder(shared.value)
+                    encoder = encoder_of(shared.value)
                     fs, root = file_system(folder)
                     part = part.as_py()
                     name = f"{root}/{part:06d}-{uuid.uuid4().hex}.bits"
