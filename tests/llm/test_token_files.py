@@ -36,7 +36,9 @@ def test_pack_round_trip(bits, ids):
 @given(st.text(alphabet=st.sampled_from(list("aAbZé\u0301 \n\t\u2000\u00a0\x1c.,'s0\u0130ΣΑ<|endoftext|>漢")), max_size=60))
 def test_words_alone_give_the_whole_text(text):
     encoder = globals().setdefault("_encoder", tf.Encoder(JSON))
-    assert [int(i) for run in encoder.runs(text) for i in run] == whole_ids(text)[:-1]
+    found = list(encoder.runs([text, "", text]))
+    assert [int(i) for d, run, _ in found if d == 0 for i in run] == whole_ids(text)[:-1] == [int(i) for d, run, _ in found if d == 2 for i in run]
+    assert [last for *_, last in found].count(True) == 3
 
 
 def test_file_random_access(monkeypatch):

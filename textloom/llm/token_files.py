@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 from textloom.llm.storage import fresh_folder, written
 
 MAGIC, HEADER, TRAILER = b"TLBITS1\0", struct.Struct("<8sII"), struct.Struct("<QQQ8s")
-BLOCK, END_ID, CACHED, LONGEST = 4096, 1, 150_000, 64
+BLOCK, END_ID, CACHED, LONGEST = 4096, 1, 200_000, 64
 #: Characters of text that are split into words at a time, and ids that are unpacked at a time.
-PART, RUN = 1 << 18, 1 << 20
+PART, RUN = 1 << 19, 1 << 20
 MANIFEST = "part int, file string, n_docs long, n_ids long"
 
 
@@ -187,55 +187,97 @@ class Encoder:
 
     #: A mark that stands between new words, so that many are encoded at once; words with it are encoded by themselves.
     MARK = "|"
+    #: What may stand after a word's last letter and is split from it whatever follows: ASCII marks, but no apostrophe.
+    TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_str(tokenizer), {}, {}
+        self.model = self.tokenizer.model
         self.bits = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
         mark = self._ids(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.by_words = self.mark is not None and all(self._ids(x + " " + y).tolist() == [*self._ids(x), *self._ids(y)] for x, y in (("a", "b"), ("", "the"), ("x,", "1 "), ("|", "|")))
+        # the model alone does for lower-case letters where nothing before it changes them
+        letters = "".join(map(chr, range(97, 123)))
+        self.by_words &= self._ids(letters).tolist() == [t.id for t in self.model.tokenize(letters)] == self._ids(letters.upper()).tolist() and self._ids(letters + ".").tolist() == [*self._ids(letters), *self._ids(".")]
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that aren't known yet."""
-        plain, found = [w for w in words if self.MARK not in w], {}
+        """The ids of words that aren't known yet. Words of ASCII letters are put together from the lower-case word, which normalises to itself, and the marks behind."""
+        found, rest = {}, []
+        for w in words:
+            core = w.rstrip(self.TAIL)
+            if core.isascii() and core.isalpha():
+                low, tail = core.lower(), w[len(core) :]
+                ids = self._known(low)
+                if ids is None:
+                    ids = np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
+                    self._keep(low, ids)
+                if tail:
+                    of_tail = self._known(tail)
+                    if of_tail is None:
+                        of_tail = self._ids(tail).tobytes()
+                        self._keep(tail, of_tail)
+                    ids += of_tail
+                found[w] = ids
+            else:
+                rest.append(w)
+        plain = [w for w in rest if self.MARK not in w]
         if plain:
             ids = self._ids(f" {self.MARK} ".join(plain))
             cuts = np.flatnonzero(ids == self.mark)
             starts, stops, data = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)], ids.tobytes()
-            found = {w: data[i:j] for w, i, j in zip(plain, starts, stops, strict=True)}
-        for w in words:
+            found |= {w: data[i:j] for w, i, j in zip(plain, starts, stops, strict=True)}
+        for w in rest:
             if w not in found:
                 found[w] = self._ids(w).tobytes()
         return found
 
-    def runs(self, text: str) -> Iterator[np.ndarray]:
-        if not self.by_words:
-            yield self._ids(text)
-            return
-        for part in parts(text):
-            words = part.split(" ")
-            young, old, here, new = self.young, self.old, {}, []
-            for w in set(words):
-                ids = young.get(w)
-                if ids is None:
-                    ids = old.get(w)
-                    if ids is None:
-                        new.append(w)
-                        continue
-                    young[w] = ids
-                here[w] = ids
-            if new:
-                learnt = self._learn(new)
-                here |= learnt
-                young.update(learnt if all(len(w) <= LONGEST for w in new) else {w: ids for w, ids in learnt.items() if len(w) <= LONGEST})
-            if len(young) > CACHED:
-                self.young, self.old = {}, young
-            yield np.frombuffer(b"".join(map(here.__getitem__, words)), "<u4")
+    def _known(self, word: str) -> bytes | None:
+        ids = self.young.get(word)
+        if ids is None and (ids := self.old.get(word)) is not None:
+            self.young[word] = ids
+        return ids
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(word) <= LONGEST:
+            self.young[word] = ids
+
+    def runs(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(text, some of its ids, whether they are its last), text after text; the texts' words are looked up about PART characters at a time."""
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            if not self.by_words:
+                yield i, self._ids(text), True
+                continue
+            at = 0
+            for part in parts(text):
+                at += len(part) + 1
+                group.append((i, part.replace("\n", " ").split(" "), at >= len(text)))
+                size += len(part)
+                if size >= PART:
+                    yield from self._looked_up(group)
+                    group, size = [], 0
+            if not text:
+                group.append((i, [], True))
+        yield from self._looked_up(group)
+
+    def _looked_up(self, group: list[tuple[int, list[str], bool]]) -> Iterator[tuple[int, np.ndarray, bool]]:
+        here = {w: self._known(w) for w in set().union(*(words for _, words, _ in group))}
+        new = [w for w, ids in here.items() if ids is None]
+        if new:
+            learnt = self._learn(new)
+            here |= learnt
+            for w, ids in learnt.items():
+                self._keep(w, ids)
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        for i, words, last in group:
+            yield i, np.frombuffer(b"".join(map(here.__getitem__, words)), "<u4"), last
 
 
 #: A worker's encoder, kept from task to task.
@@ -263,25 +305,28 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
 
     def encoded(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        writer = None
+        writer, end = None, np.array([end_id], "<u4")
         for batch in batches:
-            for part, doc_id, text in zip(*(batch.column(c) for c in ("part", "id", "text")), strict=True):
-                if writer is None:
-                    encoder = encoder_of(shared.value)
-                    fs, root = file_system(folder)
-                    part = part.as_py()
-                    name = f"{root}/{part:06d}-{uuid.uuid4().hex}.bits"
-                    fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(name)
-                    writer = Writer(out, encoder.bits, block)
-                    end = np.array([end_id], "<u4")
-                    if end_id >= 1 << encoder.bits:
-                        raise ValueError("the end id does not fit the vocabulary's bits")
-                    number = part
-                writer.begin(doc_id.as_py())
-                for ids in encoder.runs(text.as_py() or ""):
-                    writer.add(ids)
-                writer.add(end)
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                encoder = encoder_of(shared.value)
+                if end_id >= 1 << encoder.bits:
+                    raise ValueError("the end id does not fit the vocabulary's bits")
+                fs, root = file_system(folder)
+                number = batch.column("part")[0].as_py()
+                name = f"{root}/{number:06d}-{uuid.uuid4().hex}.bits"
+                fs.create_dir(root, recursive=True)
+                out = fs.open_output_stream(name)
+                writer = Writer(out, encoder.bits, block)
+            ids_of, begun = batch.column("id").to_pylist(), -1
+            for i, ids, last in encoder.runs([t or "" for t in batch.column("text").to_pylist()]):
+                if i > begun:
+                    writer.begin(ids_of[i])
+                    begun = i
+                writer.add(ids)
+                if last:
+                    writer.add(end)
         if writer is not None:
             writer.close()
             out.close()
