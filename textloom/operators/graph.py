@@ -114,10 +114,14 @@ def discount(resonance: Column) -> Column:
     return F.least(DISCOUNT + DISCOUNT_STEP * resonance, F.lit(DISCOUNT_MOST))
 
 
-def soft_next(nx: DataFrame, res: DataFrame, k: int = RESONANCE_TOP) -> DataFrame:
-    """a, b, weight, soft: the successors of a, and those of its k strongest partners that a hasn't itself (the strongest partner's count, discounted)."""
-    partners = top(res.join(nx.select(F.col("a").alias("b")).distinct(), "b"), k, "a", "b", "resonance").select("a", F.col("b").alias("partner"), F.col("rank"), discount(F.col("resonance")).alias("d"))
-    lent = partners.join(nx.select(F.col("a").alias("partner"), "b", "n"), "partner").select("a", "b", F.col("n") * F.col("d"), "rank").toDF("a", "b", "weight", "rank")
+def soft_next(nx: DataFrame, res: DataFrame, k: int = RESONANCE_TOP, words: DataFrame | None = None) -> DataFrame:
+    """a, b, weight, soft: the successors of a, and those of its k strongest partners that a hasn't itself (the strongest partner's count, discounted). words: only of these a (w)."""
+    every = nx
+    if words is not None:
+        of = words.select(F.col("w").alias("a"))
+        nx, res = nx.join(of, "a", "left_semi"), res.join(of, "a", "left_semi")
+    partners = top(res.join(every.select(F.col("a").alias("b")).distinct(), "b"), k, "a", "b", "resonance").select("a", F.col("b").alias("partner"), F.col("rank"), discount(F.col("resonance")).alias("d"))
+    lent = partners.join(every.select(F.col("a").alias("partner"), "b", "n"), "partner").select("a", "b", F.col("n") * F.col("d"), "rank").toDF("a", "b", "weight", "rank")
     new = lent.join(nx.select("a", "b"), ["a", "b"], "left_anti")
     first = new.groupBy("a", "b").agg(F.min_by("weight", "rank").alias("weight"))
     return nx.select("a", "b", F.col("n").cast("double").alias("weight"), F.lit(False).alias("soft")).unionByName(first.withColumn("soft", F.lit(True)))
