@@ -172,6 +172,13 @@ def concentration(field: DataFrame, share: float = TOP_SHARE) -> DataFrame:
     return ranked.groupBy("key").agg(F.max("n").alias("n"), (F.sum(F.when(top, F.col("energy"))) / F.sum("energy")).alias("concentration"))
 
 
+def compact_soft_next(graph: Graph, words: DataFrame) -> DataFrame:
+    """What may follow `words` (w), lent continuations too, in the compacted graph: 50 successors and 30 partners a word. A common word's successors, which may be most of the vocabulary, would else be lent to every word that resonates with it."""
+    nx = stored(g.top(graph.next, g.KEEP["next"]).drop("rank"), "next")
+    res = g.top(_of(graph.res, words), g.KEEP["resonance"], weight="resonance").drop("rank")
+    return stored(g.soft_next(nx, stored(res, "resonance"), words=words), "soft")
+
+
 def expected_steps(steps: DataFrame, soft: DataFrame) -> DataFrame:
     """steps (key, pos, prev, w) with seq, how expected w is after prev: 0.4 of its share and 0.6 of its rank among what may follow. soft: a, b, weight (what follows, lent continuations too)."""
     per = soft.join(steps.select(F.col("prev").alias("a")).distinct(), "a", "left_semi")
