@@ -43,3 +43,9 @@ def test_any_column_names(spark):
     assert sorted((r.doc_id, r["__both"], r.keep_id, r.kept) for r in out.collect()) == [(1, "__both", 1, True), (2, "__both", 1, False)]
     stay = exact_dedup.deduplicate(df)
     assert stay.columns == df.columns and [tuple(r) for r in stay.collect()] == [(1, "a b", *names)]
+
+
+def test_dotted_and_quoted_names(spark):
+    df = spark.createDataFrame([(2, "a  b", "x", "y"), (1, "a b", "z", "w")], ["doc_id", "text", "a.b", "c`d"])
+    assert sorted((r.doc_id, r["a.b"], r["c`d"], r.kept) for r in exact_dedup.mark(df).collect()) == [(1, "z", "w", True), (2, "x", "y", False)]
+    assert exact_dedup.deduplicate(df).columns == df.columns

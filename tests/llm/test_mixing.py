@@ -64,3 +64,10 @@ def test_any_column_names_and_very_many_copies(spark):
         copies = sorted(r.copy for r in got if r.doc_id == i)
         assert len(copies) > 10_000 and copies == list(range(1, len(copies) + 1)) and {(r.n_copies, r["__n"]) for r in got if r.doc_id == i} == {(len(copies), "__n")}
     assert mixing.mixed(df).columns == df.columns
+
+
+def test_dotted_and_quoted_names(spark):
+    df = spark.createDataFrame([(i, "web", "some text", f"x{i}", f"y{i}") for i in range(20)], ["doc_id", "source", "text", "a.b", "c`d"])
+    rows = mixing.replicate(df).collect()
+    assert rows and all((r["a.b"], r["c`d"]) == (f"x{r.doc_id}", f"y{r.doc_id}") for r in rows)
+    assert mixing.mixed(df).columns == df.columns

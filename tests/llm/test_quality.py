@@ -61,3 +61,17 @@ def test_defined_cases(spark):
     for few in (l.limit(0), l.where("quality = 1")):
         scores = {r.score for r in q.classify(d, q.fit(d, few)).collect()}
         assert len(scores) == 1 and 0 < scores.pop() < 1
+
+
+def test_accepted_keeps_any_columns(spark):
+    docs, labels = corpus(200)
+    names = ["__score", "__held_out", "__predicted", "score", "a.b", "a`b", "ROW", "Predicted"]
+    wide = spark.createDataFrame([(*d, *(f"{n} of {d[0]}" for n in names)) for d in docs], ["doc_id", "text", "n_chars", *names])
+    model = q.fit(wide.select("doc_id", "text", "n_chars"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    out = q.accepted(wide, model)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert 0 < len(rows) < 200 and all(tuple(r)[3:] == tuple(f"{n} of {r.doc_id}" for n in names) for r in rows)
+    scored = q.classify(wide, model)
+    assert [c for c in scored.columns if c in ("score", "Predicted")] == ["score"] and scored.select("`a.b`").count() == 200
+    assert {r.doc_id for r in rows} == {r.doc_id for r in q.classify(wide.select("doc_id", "text", "n_chars"), model).where("predicted = 1").collect()}

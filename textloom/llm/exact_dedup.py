@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.storage import column
+
 #: A run of white space that isn't one plain space already; such a run becomes one space.
 SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -43,7 +45,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed
     """docs with keep_id, group_size, kept and text_sha256, or as `own` names them. hashed: the content hash, another one in tests of collisions."""
     # the caller's columns travel as one struct, so no name of theirs can clash with one of ours
     kept = [c for c in docs.columns if c.lower() not in own]
-    docs, text = docs.select(F.struct(*[docs[c] for c in kept]).alias("__row"), docs[id_col].alias("__id"), docs[text_col].alias("__raw")), normalised(F.col("__raw"))
+    docs, text = docs.select(F.struct(*[column(c) for c in kept]).alias("__row"), docs[id_col].alias("__id"), docs[text_col].alias("__raw")), normalised(F.col("__raw"))
     texts = docs.select(hashed(text).alias("__key"), text.alias("__text"), "__id").groupBy("__key", "__text").agg(F.min("__id").alias("__keep"), F.count("*").alias("__size"))
     groups = (
         texts.select("__key", F.unhex(F.sha2("__text", 256)).alias("__sha"), "__keep", "__size")

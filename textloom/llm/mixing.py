@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.storage import column
+
 OTHER = "other"
 #: The production mixture: shares of bytes. The hot source is cut to a quarter, three are raised, all others keep the rest.
 WEIGHTS = {"src0": 0.25, "src1": 0.08, "src2": 0.08, "src3": 0.08, OTHER: 0.51}
@@ -68,7 +70,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: in
     weights = weights or WEIGHTS
     # the caller's columns travel as one struct, so no name of theirs can clash with one of ours
     kept = [c for c in docs.columns if c.lower() not in own]
-    docs = docs.select(F.struct(*[docs[c] for c in kept]).alias("__row"), docs[id_col].alias("__id"), docs[source_col].alias("__source"), docs[text_col].alias("__text"))
+    docs = docs.select(F.struct(*[column(c) for c in kept]).alias("__row"), docs[id_col].alias("__id"), docs[source_col].alias("__source"), docs[text_col].alias("__text"))
     id_col, source_col, text_col = "__id", "__source", "__text"
     table = F.broadcast(rates(docs, weights, block, source_col, text_col).select(F.col("class").alias("__class"), F.col("rate").alias("__rate"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf")))
     below = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(seed, id_col, j)))

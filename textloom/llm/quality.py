@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import meeting
-from textloom.llm.storage import small_batches
+from textloom.llm.storage import column, small_batches
 
 SAMPLE, BUCKETS, RANK, THRESHOLD, SEED = 3000, 1 << 15, 8, 0.3, 11
 EPOCHS, RATE, L2, BATCH = 30, 0.08, 2e-4, 256
@@ -181,7 +181,7 @@ def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = TH
 
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on buckets and rank alone
-    kept = [c for c in docs.columns if c not in own]
+    kept = [c for c in docs.columns if c.lower() not in own]
     stated = kept.index("n_chars") if "n_chars" in kept else None
     at = kept.index(text_col)
 
@@ -190,18 +190,22 @@ def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = TH
         for batch in batches:
             numbers = batch.column(stated) if stated is not None else None
             scores = [1 / (1 + np.exp(-np.clip(m.margin(*_joined(f(t.as_py(), numbers[k].as_py() if numbers is not None else None), buckets)), -30, 30))) for k, t in enumerate(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, own[1]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
         f.at.clear()
         meeting.released()
 
-    schema = T.StructType([docs.schema[c] for c in kept]).add(own[1], "double")
-    out = docs.select(*[docs[c] for c in kept]).mapInArrow(scored, schema)
-    return out.select(*[out[c] for c in kept], held_out(id_col).alias(own[0]), own[1], (F.col(own[1]) >= threshold).cast("int").alias(own[2]))
+    # numbered columns for the way through Python, which takes plain names only
+    schema = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]).add("score", "double")
+    out = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(kept)]).mapInArrow(scored, schema)
+    added = (held_out(f"c{kept.index(id_col)}"), F.col("score"), (F.col("score") >= threshold).cast("int"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[c.alias(n) for c, n in zip(added, own, strict=True)])
 
 
 def accepted(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of threshold or more, with the columns of docs."""
-    return classify(docs, model, threshold, own=("__held_out", "__score", "__predicted")).where("__predicted = 1").select(*docs.columns)
+    # the caller's columns travel as one struct, so none of their names can clash with those of the scores
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else []))
+    return classify(rows, model, threshold).where("predicted = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

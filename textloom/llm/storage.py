@@ -6,12 +6,18 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables not deleted yet.
 _written: dict[str, SparkSession] = {}
 
 
+def column(name: str) -> Column:
+    """The column of just that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Batches to and from Python of at most `rows` documents (Spark's default is 10,000), as some texts are very long: a worker holds a batch and what is made of it."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
