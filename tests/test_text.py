@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.functions.distance import CORE_COSTS, STATIC_COSTS, cosine, lcs_length, weighted_distance
+from textloom.functions.distance import CORE_COSTS, STATIC_COSTS, cosine, weighted_distance
+from textloom.functions.lcs import lcs_length
 from textloom.operators import correct, learn, safety
 
 

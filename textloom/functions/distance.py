@@ -79,19 +79,6 @@ def weighted_distance(a: Column, b: Column, costs: dict[str, float] = STATIC_COS
     return F.pandas_udf(whole_batch, "double").asNondeterministic()(F.lower(a), F.lower(b))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays."""
-    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: F.lit(0))
-
-    def step(row: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            return F.concat(done, F.array(F.when(x == F.get(b, j - 1), F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), F.get(done, j - 1)))))
-
-        return F.when(F.size(b) > 0, F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)).otherwise(row)
-
-    return F.element_at(F.aggregate(a, zero, step), -1)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 

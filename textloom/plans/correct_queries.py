@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.functions.distance import CORE_COSTS, STATIC_COSTS, lcs_length, weighted_distance
+from textloom.functions.distance import CORE_COSTS, STATIC_COSTS, weighted_distance
+from textloom.functions.lcs import lcs_length
 from textloom.operators import correct as c
 from textloom.sources.tables import table
 
