@@ -104,3 +104,30 @@ def test_empty(spark, graph):
     none = spark.createDataFrame([], "key string, ws array<string>")
     scores, ends = waves.score_settled(graph, none, g.soft_next(graph.next, graph.res))
     assert scores.count() == 0 == ends.count()
+
+
+LINES = [
+    ("doctor treats pat1ent with medication", {2: ["patient", "parent", "ward"]}),
+    ("nurse glves medication to patlent", {1: ["gives", "gloves"], 4: ["patient", "patent"]}),
+    ("doctor treats patient", {1: ["meal", "ward"]}),
+    ("doctor treats medication", {2: ["patient", "doctor"], 0: []}),
+    ("qqqq wwww", {0: ["zzzz", "yyyy"], 1: ["zzzz"]}),
+    ("chi1d takes syrup", {0: ["chld", "chilb"]}),
+    ("the ward the ward meal", {4: ["ward", "the"]}),
+    ("", {}),
+]
+
+
+@pytest.mark.parametrize("reading", [False, True])
+def test_choose_and_read(spark, graph, net, reading):
+    nearest = {"zzzz": "rest", "chilb": "child", "chld": "clinic"}
+    rows = [(i, t.split(), o) for i, (t, o) in enumerate(LINES)] + [(98, None, None)]
+    df = spark.createDataFrame(rows, "key int, ws array<string>, offers map<int,array<string>>")
+    near = spark.createDataFrame(list(nearest.items()), "word string, nearest string")
+    got = {r.key: r for r in waves.choose_lines(graph, df, near, reading, per_bucket=3).collect()}
+    net.damp |= {w: 1.0 for w in ("zzzz", "yyyy", "qqqq", "wwww", "chld", "chilb", "chi1d", "parent", "gloves", "patent", "pat1ent", "patlent", "glves")}
+    for i, (t, o) in enumerate(LINES):
+        want = (net.read if reading else net.choose_line)(t.split(), o, nearest)
+        assert got[i].words == want, t
+        assert {d.position for d in got[i].decisions} >= {p for p, (a, b) in enumerate(zip(t.split(), want, strict=True)) if a != b}
+    assert got[98].words == [] and got[0].words[2] == "patient"

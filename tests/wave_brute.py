@@ -105,3 +105,45 @@ class Net:
         e = sorted(end.values(), reverse=True)
         settled = 0.8 * correct + 0.2 * sum(e[: max(1, int(len(e) * 0.2))]) / sum(e)
         return (len(ws), surprise, 1 - min(surprise, 1), correct, settled, rounds, converged), end
+
+    def _field(self, words):
+        field = {}
+        for w in words:
+            for n, e in self.wave(w, field or None).items():
+                field[n] = field.get(n, 0.0) + e
+        return field
+
+    def fit(self, w, field):
+        return (self.cosine(self.wave(w), field) if field else 0.0) + field.get(w, 0.0)
+
+    def choose_line(self, words, offers, nearest):
+        words = list(words)
+        for p in sorted(offers):
+            if words[p] in self.freq or not offers[p]:
+                continue
+            field = self._field([w for i, w in enumerate(words) if i != p])
+            score, best = max((round(self.fit(c, field) + 0.01 * (c in self.freq), 12), -i) for i, c in enumerate(offers[p]))
+            if score > 0.001:
+                words[p] = offers[p][-best]
+                continue
+            via = [(round(self.fit(nearest[c], field), 12), -i) for i, c in enumerate(offers[p]) if c in nearest]
+            if via and max(via)[0] > 0.001:
+                words[p] = offers[p][-max(via)[1]]
+        return words
+
+    def read(self, words, offers, nearest):
+        out = []
+        for i, w in enumerate(words):
+            field, offered = self._field(out), offers.get(i)
+            if offered and w in self.freq and w not in offered:
+                better = [c for c in offered if c in self.freq and self.fit(c, field) > self.fit(w, field) + 0.05]
+                w = better[-1] if better else w
+            elif offered and w not in self.freq:
+                score, best = max((round(self.fit(c, field) + 0.01 * (c in self.freq), 12), -k) for k, c in enumerate(offered))
+                via = [(round(self.fit(nearest[c], field), 12), -k) for k, c in enumerate(offered) if c in nearest]
+                if score > 0.001:
+                    w = offered[-best]
+                elif via and max(via)[0] > 0.001:
+                    w = offered[-max(via)[1]]
+            out.append(w)
+        return out

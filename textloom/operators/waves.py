@@ -32,6 +32,7 @@ SETTLE_ROUNDS, SETTLE_EPSILON, SETTLE_TOP, SETTLE_DECAY = 3, 0.01, 8, 0.5
 SURPRISE = {"wave": 0.30, "sequence": 0.40, "synchrony": 0.30}
 STRENGTH, COHERENT_BELOW, LEAST_GATE, TOP_SHARE, SETTLED_SHARE = 0.6, 0.7, 0.05, 0.2, 0.2
 ACCEPT_DELTA = 0.001
+NOISE, KNOWN_BONUS, OVERRULE = 0.001, 0.01, 0.05
 PLACES = 12
 
 
@@ -189,37 +190,122 @@ def expected_steps(steps: DataFrame, soft: DataFrame) -> DataFrame:
     return steps.join(known, ["prev", "w"], "left").select("key", "pos", F.coalesce("seq", F.lit(0.0)).alias("seq"))
 
 
-def fold(words: list[str], seq: list[float], first: dict, second: dict) -> tuple[list[tuple], dict[str, float]]:
-    """One sentence from left to right. first: a word's [(node, e, linked)]; second: a node's [(target, e)]. The steps (surprise,
-    reinforcement, synchrony) and the field at the end. The field's size and its strongest node are kept along, so a step costs its wave alone."""
-    field: dict[str, float] = {}
-    square = most = 0.0
-    steps = []
-    for i, w in enumerate(words):
-        gate = (lambda n: GATE_LOW + (GATE_HIGH - GATE_LOW) * field.get(n, 0.0) / max(most, 1e-9)) if field else (lambda n: 1.0)
+class Field:
+    """The field of one sentence as it is read, and the waves of its words in it. first: a word's [(node, e, linked)]; second: a node's
+    [(target, e)]. The field's size and its strongest node are kept along, so a word costs its wave alone."""
+
+    def __init__(self, first: dict, second: dict):
+        self.first, self.second = first, second
+        self.energy: dict[str, float] = {}
+        self.square = self.most = 0.0
+
+    def wave(self, w: str, gated: bool = True) -> dict[str, float]:
+        field, most, edges = self.energy, max(self.most, 1e-9), self.first.get(w, ())
+        gate = (lambda n: GATE_LOW + (GATE_HIGH - GATE_LOW) * field.get(n, 0.0) / most) if gated and field else (lambda n: 1.0)
         wave = {w: 1.0}
-        for node, e, _ in first.get(w, ()):
+        for node, e, _ in edges:
             wave[node] = wave.get(node, 0.0) + e * gate(node)
-        go_on = {node for node, _, ok in first.get(w, ()) if ok}
+        go_on = {node for node, _, ok in edges if ok}
         # the first hop's energy alone decides where the second starts
         ranked = sorted((n for n in wave if n != w), key=lambda n: (-round(wave[n], PLACES), n))[: 2 * SECOND_NODES]
         for node in [n for n in ranked if n in go_on][:SECOND_NODES]:
-            for target, e in second.get(node, ()):
+            for target, e in self.second.get(node, ()):
                 wave[target] = wave.get(target, 0.0) + e * gate(target)
+        return wave
+
+    def add(self, wave: dict[str, float]) -> None:
+        for n, e in wave.items():
+            had = self.energy.get(n, 0.0)
+            self.energy[n] = had + e
+            self.square += (had + e) ** 2 - had * had
+            self.most = max(self.most, had + e)
+
+    def agreement(self, wave: dict[str, float]) -> float:
+        """The cosine of a wave and the field."""
+        if self.square <= 1e-18:
+            return 0.0
+        return sum(e * self.energy[n] for n, e in wave.items() if n in self.energy) / (sum(e * e for e in wave.values()) ** 0.5 * self.square**0.5)
+
+    def fit(self, w: str) -> float:
+        """How well a word would stand here: its wave's agreement and what the field holds of it."""
+        return self.agreement(self.wave(w, gated=False)) + self.energy.get(w, 0.0)
+
+
+def fold(words: list[str], seq: list[float], first: dict, second: dict) -> tuple[list[tuple], dict[str, float]]:
+    """One sentence from left to right: the steps (surprise, reinforcement, synchrony) and the field at the end."""
+    field, steps = Field(first, second), []
+    for i, w in enumerate(words):
+        wave = field.wave(w)
+        reinforced = synchrony = surprise = 0.0
         if i:
-            reinforced = min(field.get(w, 0.0) / max(most, 1e-9), 1.0)
-            size = sum(e * e for e in wave.values()) ** 0.5
-            synchrony = sum(e * field[n] for n, e in wave.items() if n in field) / (size * square**0.5) if square > 1e-18 else 0.0
+            reinforced, synchrony = min(field.energy.get(w, 0.0) / max(field.most, 1e-9), 1.0), field.agreement(wave)
             surprise = (1 - reinforced) * SURPRISE["wave"] + (1 - seq[i]) * SURPRISE["sequence"] + (1 - synchrony) * SURPRISE["synchrony"]
-            steps.append((surprise, reinforced, synchrony))
-        else:
-            steps.append((0.0, 0.0, 0.0))
-        for n, e in wave.items():
-            had = field.get(n, 0.0)
-            field[n] = had + e
-            square += (had + e) ** 2 - had * had
-            most = max(most, had + e)
-    return steps, field
+        steps.append((surprise, reinforced, synchrony))
+        field.add(wave)
+    return steps, field.energy
+
+
+def chosen(words: list[str], position: int, candidates: list[str], known: set[str], nearest: dict[str, str], first: dict, second: dict) -> tuple[str, str]:
+    """The word for one place, and why. A known word stays. Of the candidates the one that fits the field of the other words best is taken
+    if it fits at all, known ones being ahead by a little; else the one whose nearest known word fits best."""
+    word = words[position]
+    if word in known:
+        return word, "already_understood"
+    field = Field(first, second)
+    for i, w in enumerate(words):
+        if i != position:
+            field.add(field.wave(w))
+    best = _best(candidates, lambda c: field.fit(c) + (KNOWN_BONUS if c in known else 0.0))
+    if best and best[1] > NOISE:
+        return best[0], "context_aligned"
+    best = _best([c for c in candidates if nearest.get(c, c) != c], lambda c: field.fit(nearest[c]))
+    if best and best[1] > NOISE:
+        return best[0], f"inferred_via_{nearest[best[0]]}"
+    return word, "no_alignment"
+
+
+def _best(candidates: list[str], of) -> tuple[str, float] | None:
+    """The candidate with the highest score, the first of equal ones."""
+    scored = [(c, of(c)) for c in candidates]
+    return max(scored, key=lambda x: round(x[1], PLACES)) if scored else None
+
+
+def chosen_line(words: list[str], candidates: dict[int, list[str]], known: set[str], nearest: dict[str, str], first: dict, second: dict) -> tuple[list[str], list[tuple]]:
+    """A line with all its places chosen from left to right, a choice being part of the next one's context; and the changes (position, from, to, reason)."""
+    words, made = list(words), []
+    for position in sorted(p for p, c in candidates.items() if c and p < len(words)):
+        word, why = chosen(words, position, candidates[position], known, nearest, first, second)
+        if word != words[position]:
+            made.append((position, words[position], word, why))
+            words[position] = word
+    return words, made
+
+
+def read_line(words: list[str], candidates: dict[int, list[str]], known: set[str], nearest: dict[str, str], first: dict, second: dict) -> tuple[list[str], list[tuple]]:
+    """A line read from left to right by the field so far. A known word gives way only to a known candidate that fits by a margin; an unknown one to the candidate that fits best, or whose nearest known word does."""
+    field, out, made = Field(first, second), [], []
+    for i, word in enumerate(words):
+        offered, pick, why = candidates.get(i), word, ""
+        if offered and word in known:
+            if word not in offered:
+                own = field.fit(word) + OVERRULE
+                # the last one that is better by the margin, in the order in which they are offered
+                for c in offered:
+                    if c in known and field.fit(c) > own:
+                        pick, why = c, "field_prefers"
+        elif offered:
+            best = _best(offered, lambda c: field.fit(c) + (KNOWN_BONUS if c in known else 0.0))
+            if best[1] > NOISE:
+                pick, why = best[0], "field_aligned"
+            else:
+                best = _best([c for c in offered if nearest.get(c, c) != c], lambda c: field.fit(nearest[c]))
+                if best and best[1] > NOISE:
+                    pick, why = best[0], f"inferred_{nearest[best[0]]}"
+        if why:
+            made.append((i, word, pick, why))
+        out.append(pick)
+        field.add(field.wave(pick))
+    return out, made
 
 
 def corrected(words: list[str], seq: list[float], steps: list[tuple], field: dict[str, float]) -> float:
@@ -234,6 +320,59 @@ def corrected(words: list[str], seq: list[float], steps: list[tuple], field: dic
     return total / len(words)
 
 
+def _kits(graph: Graph, words: DataFrame) -> DataFrame:
+    """bucket, hop, w, nodes, es, oks: the edges that the waves of each bucket's words (bucket, w) can take, once a bucket."""
+    words = stored(words, "words")
+    one = stored(first_hop(graph, words.select("w").distinct()), "first")
+    one = stored(one.join(linked(graph, one.where("node <> w").select("w", "node")).withColumn("ok", F.lit(True)), ["w", "node"], "left").withColumn("ok", F.coalesce("ok", F.lit(False))), "first")
+    of_first = one.groupBy("w").agg(F.collect_list("node").alias("nodes"), F.collect_list("e").alias("es"), F.collect_list("ok").alias("oks"))
+    nodes = words.join(one.where("ok").select("w", "node"), "w").select("bucket", F.col("node").alias("w")).distinct()
+    of_second = second_hop(graph, one.where("ok").select(F.col("node").alias("w")).distinct()).groupBy("w").agg(F.collect_list("target").alias("nodes"), F.collect_list("e").alias("es"))
+    return words.join(of_first, "w").select("bucket", F.lit(1).alias("hop"), "w", "nodes", "es", "oks").unionByName(nodes.join(of_second, "w").select("bucket", F.lit(2).alias("hop"), "w", "nodes", "es", F.lit(None).cast("array<boolean>").alias("oks")))
+
+
+def _edges_of(kit) -> tuple[dict, dict]:
+    """A bucket's kit as dictionaries."""
+    first = {r.w: sorted(zip(r.nodes, r.es, r.oks, strict=True)) for r in kit[kit.hop == 1].itertuples()}
+    return first, {r.w: sorted(zip(r.nodes, r.es, strict=True)) for r in kit[kit.hop == 2].itertuples()}
+
+
+def choose_lines(graph: Graph, lines: DataFrame, nearest: DataFrame | None = None, reading: bool = False, per_bucket: int = 2000) -> DataFrame:
+    """key, words, decisions (position, from, to, reason): lines with each offered place chosen in the context of the whole line, or, if
+    `reading`, read from left to right by the field so far. lines: key (unique), ws, offers (map from position, from 0, to candidates).
+    nearest: word, nearest (a known word), for candidates that nothing aligns."""
+    import pandas as pd
+
+    key_type = lines.schema["key"].dataType.simpleString()
+    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<array<string>>"))
+    lines = stored(lines.select("key", F.coalesce("ws", F.array().cast("array<string>")).alias("ws"), F.coalesce("offers", none).alias("offers")), "lines")
+    buckets = max(1, -(-lines.count() // per_bucket))
+    dealt = lines.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    words = dealt.select("bucket", F.explode(F.array_distinct(F.concat("ws", F.flatten(F.map_values("offers"))))).alias("w")).where("w is not null").distinct()
+    via = None
+    if nearest is not None:
+        via = stored(words.join(nearest.select(F.col("word").alias("w"), "nearest"), "w").select("bucket", "w", "nearest").distinct(), "nearest")
+        words = words.unionByName(via.select("bucket", F.col("nearest").alias("w"))).distinct()
+    # a word with an edge is known
+    kit = _kits(graph, words)
+    if via is not None:
+        null = lambda kind: F.lit(None).cast(kind)
+        kit = kit.unionByName(via.select("bucket", F.lit(0).alias("hop"), "w", F.array("nearest").alias("nodes"), null("array<double>").alias("es"), null("array<boolean>").alias("oks")))
+    schema = f"key {key_type}, words array<string>, decisions array<struct<position:int,from:string,to:string,reason:string>>"
+
+    def run(part: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        first, second = _edges_of(edges)
+        near = {r.w: r.nodes[0] for r in edges[edges.hop == 0].itertuples()}
+        one, out = read_line if reading else chosen_line, []
+        for r in part.itertuples():
+            offers = {int(p): [c for c in cs if c is not None] for p, cs in dict(r.offers).items() if cs is not None}
+            done, made = one(list(r.ws), offers, first.keys(), near, first, second)
+            out.append((r.key, done, [{"position": p, "from": a, "to": b, "reason": why} for p, a, b, why in made]))
+        return pd.DataFrame(out, columns=["key", "words", "decisions"])
+
+    return dealt.groupBy("bucket").cogroup(kit.groupBy("bucket")).applyInPandas(run, schema)
+
+
 def score(graph: Graph, texts: DataFrame, soft: DataFrame, per_bucket: int = 2000) -> tuple[DataFrame, DataFrame]:
     """texts (key, ws) scored by folds. Two tables: key, n_words, surprise (mean), coherence, corrected; and the fields at the ends
     (key, node, energy). Texts of fewer than two words score 0 and have no field. key is unique."""
@@ -246,18 +385,10 @@ def score(graph: Graph, texts: DataFrame, soft: DataFrame, per_bucket: int = 200
     dealt = long.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
     steps = dealt.select("key", F.posexplode(g._pairs(F.col("ws"), 1)).alias("p", "x")).select("key", (F.col("p") + 1).alias("pos"), F.col("x.a").alias("prev"), F.col("x.b").alias("w"))
     seqs = expected_steps(steps, soft).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "seq"))), lambda s: s["seq"]).alias("seq"))
-    # the edges of the words that occur, once a bucket
-    words = stored(dealt.select("bucket", F.explode(F.array_distinct("ws")).alias("w")).distinct(), "words")
-    one = stored(first_hop(graph, words.select("w").distinct()), "first")
-    one = stored(one.join(linked(graph, one.where("node <> w").select("w", "node")).withColumn("ok", F.lit(True)), ["w", "node"], "left").withColumn("ok", F.coalesce("ok", F.lit(False))), "first")
-    of_first = one.groupBy("w").agg(F.collect_list("node").alias("nodes"), F.collect_list("e").alias("es"), F.collect_list("ok").alias("oks"))
-    nodes = words.join(one.where("ok").select("w", "node"), "w").select("bucket", F.col("node").alias("w")).distinct()
-    of_second = second_hop(graph, one.where("ok").select(F.col("node").alias("w")).distinct()).groupBy("w").agg(F.collect_list("target").alias("nodes"), F.collect_list("e").alias("es"))
-    kit = words.join(of_first, "w").select("bucket", F.lit(1).alias("hop"), "w", "nodes", "es", "oks").unionByName(nodes.join(of_second, "w").select("bucket", F.lit(2).alias("hop"), "w", "nodes", "es", F.lit(None).cast("array<boolean>").alias("oks")))
+    kit = _kits(graph, dealt.select("bucket", F.explode(F.array_distinct("ws")).alias("w")).distinct())
 
     def folded(sentences: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        first = {r.w: sorted(zip(r.nodes, r.es, r.oks, strict=True)) for r in edges[edges.hop == 1].itertuples()}
-        second = {r.w: sorted(zip(r.nodes, r.es, strict=True)) for r in edges[edges.hop == 2].itertuples()}
+        first, second = _edges_of(edges)
         out = []
         for r in sentences.itertuples():
             ws, seq = list(r.ws), [0.0, *r.seq]
