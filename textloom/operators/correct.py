@@ -90,10 +90,10 @@ def score(pairs: DataFrame, frequency: str | None = None) -> DataFrame:
     return named.withColumn("score", mean + F.when(strong >= 3, 0.3).when(strong == 2, 0.1).otherwise(0.0))
 
 
-def ranked(scored: DataFrame, k: int = TOP) -> DataFrame:
-    """The k best of each query with rank and margin (to the next)."""
+def ranked(scored: DataFrame, k: int = TOP, by: tuple[str, ...] = ("query",)) -> DataFrame:
+    """The k best of each query (or of what `by` names) with rank and margin (to the next)."""
     # order by a rounded score, so that sums that differ in the last bit rank alike everywhere
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), F.round("distance", 9), "word")
+    w = Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), F.round("distance", 9), "word")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("margin", F.round("score", 9) - F.coalesce(F.lead(F.round("score", 9)).over(w), F.lit(0.0)))
 
 
@@ -103,7 +103,7 @@ def evidence_gate(query: Column, distance: Column, edit: Column, word: Column, o
     mixed = query.rlike("[0-9]") & query.rlike("[A-Za-z]")
     ratio = F.when(edit > 0, distance / edit).otherwise(F.lit(0.0))
     short, long = (0.6, 0.8) if ocr else (GATE["short"], GATE["long"])
-    weak = (ratio >= F.when(n <= 5, F.lit(short)).otherwise(F.lit(long))) & ~((edit <= 1) & (dl != 0)) & ~((edit <= 1) & (n >= 8))
+    weak = (ratio >= F.when(n <= 4, F.lit(short)).otherwise(F.lit(long))) & ~((edit <= 1) & (dl != 0)) & ~((edit <= 1) & (n >= 8))
     far = ((edit >= (6 if ocr else 3)) | ((edit >= (3 if ocr else 2)) & (n <= 5))) & (ratio >= 0.2)
     return ~mixed & (weak | far)
 
@@ -125,7 +125,7 @@ def guard(word: Column) -> Column:
     return F.when(t == "", "empty").when(t.rlike(NUMBER), "number").when(t.rlike(TITLE), "title").when(t.rlike(DOSAGE), "dosage").when(room, "room_code").when(letters * 2 < n, "punctuation")
 
 
-GUARD_CONFIDENCE = {"empty": 0.0, "number": 0.8, "title": 0.95, "dosage": 0.8, "room_code": 0.7, "short_unknown": 0.4, "punctuation": 0.6, "exact": 0.9, "clean": 0.85, "digraph_corrected": 0.85, "unknown": 0.2}
+GUARD_CONFIDENCE = {"empty": 0.0, "number": 0.8, "title": 0.95, "dosage": 0.8, "room_code": 0.7, "short_unknown": 0.4, "punctuation": 0.6, "exact": 0.9, "clean": 0.85, "digraph_corrected": 0.85}
 
 
 def correct_words(tokens: DataFrame, vocab: DataFrame, common: DataFrame | None = None, medications: DataFrame | None = None, ocr: bool = False) -> DataFrame:
@@ -166,7 +166,7 @@ def correct_words(tokens: DataFrame, vocab: DataFrame, common: DataFrame | None
     gate = evidence_gate(F.col("query"), F.col("distance"), F.col("edit"), F.col("word"), ocr)
     flagged = fuzzy.withColumn("flag", F.when(F.col("word").isNull(), "unknown").when(gate, "clean").otherwise(policy(c, F.col("margin"), danger)))
     apply = (F.col("flag") == "high_confidence") | ((F.col("flag") == "corrected_verify") & (F.col("edit") <= 2))
-    conf2 = F.when(F.col("flag") == "unknown", F.lit(0.2)).when(F.col("flag") == "clean", F.lit(0.85)).otherwise(c)
+    conf2 = F.when(F.col("flag").isin("unknown", "clean"), F.lit(0.0)).otherwise(c)
     return done.unionByName(flagged.select("query", F.when(apply, tx.preserve_case(F.col("query"), F.col("word"))).otherwise(F.col("query")).alias("corrected"), conf2.alias("confidence"), "flag", "distance"))
 
 

@@ -163,7 +163,7 @@ r5 AS (SELECT *, CASE WHEN rank = 5 THEN round(score, 9) ELSE margin0 END AS mar
 
 
 def _gate(short, long, far, near):
-    return f"""(NOT (regexp_matches(query, '[0-9]') AND regexp_matches(query, '[A-Za-z]'))) AND ((ratio >= CASE WHEN length(query) <= 5 THEN {short} ELSE {long} END AND NOT (edit <= 1 AND length(query) <> length(word)) AND NOT (edit <= 1 AND length(query) >= 8))
+    return f"""(NOT (regexp_matches(query, '[0-9]') AND regexp_matches(query, '[A-Za-z]'))) AND ((ratio >= CASE WHEN length(query) <= 4 THEN {short} ELSE {long} END AND NOT (edit <= 1 AND length(query) <> length(word)) AND NOT (edit <= 1 AND length(query) >= 8))
       OR ((edit >= {far} OR (edit >= {near} AND length(query) <= 5)) AND ratio >= 0.2))"""
 
 
