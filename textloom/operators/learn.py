@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.distance import weighted_distance
+from textloom.functions.distance import STATIC_COSTS, weighted_distance
 from textloom.operators import align
 
 #: Fixed values.
@@ -32,6 +32,15 @@ def adapted_cost(base: Column, n: Column, total: Column) -> Column:
     return F.when((n == 0) | (total < LEAST_CORRECTIONS), base).otherwise(base * (1 - share) + seen * share)
 
 
+def learned_costs(counts: DataFrame, total: int, base: dict[str, float] = STATIC_COSTS) -> dict[str, float]:
+    """Costs for weighted_distance after `total` corrections. counts: pair, n (see substitutions, and aligned_counts where kind is error).
+
+    The distance knows costs of the first 128 characters only, so at most 8,256 rows reach the driver, whatever was learned from."""
+    plain = counts.where(F.col("pair").rlike("^[\\x00-\\x7F],[\\x00-\\x7F]$")).groupBy("pair").agg(F.sum("n").alias("n"))
+    start = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in sorted(base.items()) for x in (k, v)]), F.col("pair")), F.lit(1.0))
+    return base | {r.pair: r.cost for r in plain.select("pair", adapted_cost(start, F.col("n"), F.lit(total)).alias("cost")).collect()}
+
+
 def frequency_boost(n: Column) -> Column:
     return F.log(1 + n) / F.log(F.lit(101.0))
 
