@@ -139,6 +139,8 @@ def correct_rows(
         counts = frequency.where("word is not null").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).where("n > 0")
         words = base.join(counts, "word", "full").select("word", F.coalesce("base", F.lit(False)).alias("base"), learn.frequency_boost(F.coalesce("n", F.lit(0))).alias("boost"))
     words = stored(words, "words")
+    # each column asks these again
+    column_words, chains, medications = (None if df is None else stored(df, "given") for df in (column_words, chains, medications))
     named = lambda c: F.col("`" + c.replace("`", "``") + "`")
     state = rows.select(named(key).alias("row"), F.array().cast(KNOWN).alias("known"), F.array(*[named(c).cast("string") for c in columns]).alias("texts"))
     cores = state.select(F.explode("texts").alias("text")).select(F.explode(tokens(F.col("text"))).alias("token")).select(tx.peel(F.col("token"))[1].alias("core"))

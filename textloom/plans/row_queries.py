@@ -42,7 +42,7 @@ def _cells(spark, sf_dir):
     clean, damaged = _clean(spark, sf_dir), _damaged(spark, sf_dir)
     long = learn.cells(clean, COLUMNS[:2], "row").select("col", F.explode(F.split(F.lower("value"), " ")).alias("word"))
     expected = long.unionByName(spark.range(1).select(F.lit("Medication").alias("col"), F.lit(MEDICATION).alias("word")))
-    vocab = _vocab(spark, sf_dir).unionByName(expected.select("word")).distinct()
+    vocab = stored(_vocab(spark, sf_dir).unionByName(expected.select("word")).distinct(), "vocab")
     both = clean.select(F.col("Name").alias("text")).unionByName(damaged.select(F.col("Name").alias("text")))
     lines = both.select(tx.model_tokens(F.col("text")).alias("ws")).where(F.size("ws") >= 2)
     cells = rows.correct_rows(
