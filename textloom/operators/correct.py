@@ -22,48 +22,80 @@ SIGNALS = 8
 GATE = {"short": 0.35, "long": 0.55}
 
 
-def vocab_keys(words: DataFrame, word: str = "word") -> DataFrame:
-    """word, form, kind, key: its index form, the deletions of that, its prefix and suffix with the length."""
-    f = words.select(F.col(word).alias("word")).distinct().withColumn("form", tx.index_form(F.col("word")))
-    return keyed(f, "word")
-
-
 def keyed(f: DataFrame, word: str, spread: int = 0) -> DataFrame:
-    """Keys of one side. spread: on the query's side, prefixes and suffixes also with lengths that differ by up to so many."""
-    form, n = F.col("form"), F.length(word)
-    lengths = F.sequence(F.greatest(n - spread, F.lit(1)), n + spread) if spread else F.array(n)
+    """word, form, kind, key: the index form and the deletions of that. spread: on the query's side, the form meets deletions, too."""
+    form = F.col("form")
     entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     dels = tx.deletions(form)
-    if spread:
-        exact = F.concat(F.array(form), dels)  # the query's own form and its deletions meet the vocabulary's forms and deletions
-        keys = F.concat(F.transform(F.array(form), lambda k: entry("form", k)), F.transform(exact, lambda k: entry("cut", k)))
-    else:
-        keys = F.concat(F.array(entry("form", form)), F.transform(dels, lambda k: entry("cut", k)))
-    two = F.transform(lengths, lambda i: entry("prefix", F.concat(F.substring(form, 1, 2), F.lit(":"), i)))
-    end = F.transform(lengths, lambda i: entry("suffix", F.concat(F.right(form, F.lit(2)), F.lit(":"), i)))
-    return f.select(word, "form", F.explode(F.concat(keys, two, end)).alias("k")).select(word, "form", "k.kind", "k.key").where("key <> ''")
+    # the query's own form and its deletions meet the vocabulary's forms and deletions
+    cuts = F.concat(F.array(form), dels) if spread else dels
+    keys = F.concat(F.array(entry("form", form)), F.transform(cuts, lambda k: entry("cut", k)))
+    return f.select(word, "form", F.explode(keys).alias("k")).select(word, "form", "k.kind", "k.key").where("key <> ''")
 
 
-def shape_score(query: Column, qform: Column, word: Column, wform: Column) -> Column:
+def outline(word: Column, form: Column) -> Column:
+    """All of a word that its shape score, and its keys by beginning and end, depend on."""
+    return F.struct(F.substring(word, 1, 1).alias("first"), F.right(word, F.lit(1)).alias("last"), F.substring(form, 1, 2).alias("begin"), F.right(form, F.lit(2)).alias("end"), F.length(word).alias("n"))
+
+
+def outline_score(q: Column, w: Column) -> Column:
     """+3 same first letter, +2 same last, +2 same two-letter beginning of the forms, +1 same ending, less 0.75 a letter of difference in length."""
-    same = lambda a, b, x: F.when(a == b, F.lit(x)).otherwise(F.lit(0.0))
-    return (
-        same(F.substring(query, 1, 1), F.substring(word, 1, 1), SHAPE["first"])
-        + same(F.right(query, F.lit(1)), F.right(word, F.lit(1)), SHAPE["last"])
-        + same(F.substring(qform, 1, 2), F.substring(wform, 1, 2), SHAPE["prefix"])
-        + same(F.right(qform, F.lit(2)), F.right(wform, F.lit(2)), SHAPE["suffix"])
-        - SHAPE["length"] * F.abs(F.length(query) - F.length(word))
-    )
+    same = lambda name, x: F.when(q[name] == w[name], F.lit(x)).otherwise(F.lit(0.0))
+    return same("first", SHAPE["first"]) + same("last", SHAPE["last"]) + same("begin", SHAPE["prefix"]) + same("end", SHAPE["suffix"]) - SHAPE["length"] * F.abs(q["n"] - w["n"])
+
+
+def shape_score(query: Column, qform: Column, word: Column, wform: Column) -> Column:
+    return outline_score(outline(query, qform), outline(word, wform))
+
+
+def meeting_ends(q: Column, w: Column, spread: int) -> Column:
+    """Do words of these outlines share their forms' beginning or end, with lengths that differ by up to `spread`?"""
+    return ((q["begin"] == w["begin"]) | (q["end"] == w["end"])) & (F.abs(q["n"] - w["n"]) <= spread) & (w["n"] >= 1)
+
+
+def best_by_outline(q: DataFrame, v: DataFrame, spread: int, limit: int) -> DataFrame:
+    """o, best: for each outline of a query its `limit` best words (structs of minus shape and word, sorted) among those that share a
+    beginning or an end. Outlines meet first, by levels of shape; words only follow for levels that can still be among the best, and of an
+    outline no more than `limit`."""
+    words = v.withColumn("r", F.row_number().over(Window.partitionBy("o").orderBy("word"))).where(F.col("r") <= limit)
+    kept = words.groupBy("o").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    asked = q.select("o").distinct()
+
+    def by(end):
+        """Outlines that share the end, at each length that is near enough."""
+        lengths = F.sequence(F.greatest(F.col("o")["n"] - spread, F.lit(1)), F.col("o")["n"] + spread)
+        one = asked.select("o", F.col("o")[end].alias("key"), F.explode(lengths).alias("n"))
+        other = kept.select(F.col("o").alias("w"), F.size("words").alias("k"), F.col("o")[end].alias("key"), F.col("o")["n"].alias("n"))
+        return one.join(other, ["key", "n"]).select("o", "w", "k")
+
+    begin, end = by("begin"), by("end").where(F.col("o")["begin"] != F.col("w")["begin"])
+    scored = begin.unionByName(end).withColumn("minus", -outline_score(F.col("o"), F.col("w")))
+    levels = scored.groupBy("o", "minus").agg(F.sum("k").alias("k"))
+    open_ = levels.withColumn("before", F.sum("k").over(Window.partitionBy("o").orderBy("minus")) - F.col("k")).where(F.col("before") < limit)
+    some = scored.join(open_.select("o", "minus"), ["o", "minus"], "left_semi").join(kept.select(F.col("o").alias("w"), "words"), "w")
+    each = some.select("o", "minus", F.explode("words").alias("word"))
+    ranked_ = each.withColumn("r", F.row_number().over(Window.partitionBy("o").orderBy("minus", "word"))).where(F.col("r") <= limit)
+    return ranked_.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("minus", "word"))).alias("best"))
 
 
 def candidates(queries: DataFrame, vocab: DataFrame, max_len_diff: int = 1, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """query, word, shape: vocabulary words that share a key; the best `limit` by shape of each query. queries: query; vocab: word."""
-    q = queries.select("query").distinct().withColumn("form", tx.index_form(F.col("query")))
-    a, b = keyed(q, "query", max_len_diff).withColumnRenamed("form", "qform"), vocab_keys(vocab).withColumnRenamed("form", "wform")
-    pairs = a.join(b, ["kind", "key"]).where(F.abs(F.length("query") - F.length("word")) <= max_len_diff + 1).select("query", "qform", "word", "wform").distinct()
-    scored = pairs.select("query", "word", shape_score(F.col("query"), F.col("qform"), F.col("word"), F.col("wform")).alias("shape"))
-    r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shape"), "word"))
-    return scored.withColumn("r", r).where(F.col("r") <= limit).drop("r")
+    """query, word, shape: vocabulary words that share a key; the best `limit` by shape of each query. queries: query; vocab: word.
+
+    A key is the form, a deletion of it, or its beginning or end with the length. The last two decide by a word's outline alone, so the best
+    words for them are found once an outline, and a common ending costs no pair of each query with each word."""
+    q = queries.select("query").where("query is not null").distinct().withColumn("form", tx.index_form(F.col("query"))).withColumn("o", outline(F.col("query"), F.col("form")))
+    v = vocab.select("word").where("word is not null").distinct().withColumn("form", tx.index_form(F.col("word")))
+    a, b = keyed(q, "query", max_len_diff).withColumnRenamed("form", "qform"), keyed(v, "word").withColumnRenamed("form", "wform")
+    cut = a.join(b, ["kind", "key"]).where(F.abs(F.length("query") - F.length("word")) <= max_len_diff + 1)
+    outlines = outline(F.col("query"), F.col("qform")), outline(F.col("word"), F.col("wform"))
+    more = cut.where(~meeting_ends(*outlines, max_len_diff)).select("query", (-outline_score(*outlines)).alias("minus"), "word")
+    # a pair may share several deletions
+    more = more.groupBy("query").agg(F.collect_set(F.struct("minus", "word")).alias("more"))
+    best = best_by_outline(q, v.withColumn("o", outline(F.col("word"), F.col("form"))), max_len_diff, limit)
+    both = q.select("query", "o").join(best, "o", "left").join(more, "query", "left")
+    none = F.array().cast("array<struct<minus:double,word:string>>")
+    all_ = F.when(F.col("more").isNull(), F.col("best")).otherwise(F.slice(F.sort_array(F.concat(F.coalesce("best", none), F.col("more"))), 1, limit))
+    return both.select("query", F.explode(all_).alias("c")).select("query", "c.word", (-F.col("c.minus")).alias("shape"))
 
 
 def max_distance(n: Column, ocr: bool = False) -> Column:

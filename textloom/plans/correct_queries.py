@@ -8,6 +8,7 @@ from textloom.functions import text as tx
 from textloom.functions.distance import CORE_COSTS, STATIC_COSTS, weighted_distance
 from textloom.functions.lcs import lcs_length
 from textloom.operators import correct as c
+from textloom.sources.storage import stored
 from textloom.sources.tables import table
 
 #: Look-alikes that a scanner takes for each other, in turn; every word is damaged by the rule that its checksum picks.
@@ -21,6 +22,11 @@ def _vocab(spark, sf_dir):
     return part.unionByName(docs).where(F.length("word") >= 3).where(F.col("word").rlike("^[a-z]+$")).distinct()
 
 
+def _written_vocab(spark, sf_dir):
+    """The vocabulary, written: a plan that asks for it several times reads the documents once."""
+    return stored(_vocab(spark, sf_dir), "vocab")
+
+
 def _noisy(vocab):
     """word, query: look-alike digits, or m as rn, or a letter dropped."""
     k = F.ascii(F.substring("word", 2, 1)) % 3
@@ -34,7 +40,7 @@ def deletion_index(spark, sf_dir):
 
 
 def blocking_candidates(spark, sf_dir):
-    v = _vocab(spark, sf_dir)
+    v = _written_vocab(spark, sf_dir)
     return c.candidates(_noisy(v), v).groupBy("query").agg(F.count("*").alias("n"), F.max("shape").alias("best_shape"))
 
 
@@ -49,7 +55,7 @@ def weighted_distances(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir, k):
-    v = _vocab(spark, sf_dir)
+    v = _written_vocab(spark, sf_dir)
     n = _noisy(v)
     pairs = c.with_distance(c.candidates(n.select("query"), v)).where(F.col("distance") <= c.max_distance(F.length("query")))
     return n, c.ranked(c.score(pairs), k)
@@ -85,7 +91,7 @@ def peel_tokens(spark, sf_dir):
 
 def correction_flags(spark, sf_dir):
     """How all the damaged words, and as many sound ones, are flagged."""
-    v = _vocab(spark, sf_dir)
+    v = _written_vocab(spark, sf_dir)
     n = _noisy(v)
     meds = v.where(F.length("word") >= 7)
     done = c.correct_words(n.select("query").unionByName(v.select(F.col("word").alias("query"))), v, None, meds)
@@ -94,7 +100,7 @@ def correction_flags(spark, sf_dir):
 
 def line_confidence(spark, sf_dir):
     """Parts' names, damaged word by word, corrected as lines."""
-    v = _vocab(spark, sf_dir)
+    v = _written_vocab(spark, sf_dir)
     line = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_id"), F.translate(F.lower("p_name"), NOISE_FROM, NOISE_TO).alias("text"))
     tokens = line.select(F.explode(F.split("text", r"\s+")).alias("query")).distinct()
     words = c.correct_words(tokens, v)
