@@ -1,6 +1,7 @@
 """What the language graph makes once, and for the words asked for only."""
 
 from textloom.operators import graph as g
+from textloom.operators import waves
 
 TEXTS = [(1, "The red fox saw the old dog. A   b!  The red dog saw the red fox again\nx y"), (2, "the fox and the dog and the fox and the old red dog"), (3, None), (4, "  one two ﻿. short")]
 
@@ -23,3 +24,10 @@ def test_resonance_is_summed_once(spark):
     assert sum("Aggregate [" in line and "sum(n" in line for line in plan.splitlines()) == 1
     rows = {(r.a, r.b): r.resonance for r in res.collect()}
     assert rows and all(rows[b, a] == x and a != b for (a, b), x in rows.items())
+
+
+def test_skip_grams_of_the_words_asked_for(spark):
+    graph = waves.build(_sents(spark))
+    words = spark.createDataFrame([("fox",), ("red",), ("none",)], "w string")
+    every = {(r.a, r.b): r.weight for r in graph.skip().collect()}
+    assert {(r.a, r.b): r.weight for r in graph.skip(words).collect()} == {k: x for k, x in every.items() if k[0] in ("fox", "red")}
