@@ -230,7 +230,9 @@ def feedback_evaluation(spark, sf_dir):
     """Each turn of a conversation held against the one before, word by word."""
     from textloom.operators import align
 
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    # dealt into a stated number of parts: the texts are small and their alignments dear, so parts aren't to be put together by their size
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").repartition(parts, "conv_id")
     b = t.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
     return align.evaluated(b.withColumn("key", F.struct("conv_id", "turn")), "text", "before", "key").select("key.conv_id", "key.turn", "total", "correct", "substitutions", "deleted", "inserted")
 
