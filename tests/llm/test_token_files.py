@@ -110,3 +110,22 @@ def test_query(spark):
     got = sorted(tuple(r) for r in tf.op12_token_files(spark, "/root/testdata/sf0.001").collect())
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
     assert got == brute(docs)
+
+
+def test_words_of_latin_letters_are_put_together(monkeypatch):
+    """Only marks, once each, and words of other characters go through the whole tokenizer; the ids stay those of the whole text."""
+    encoder, asked = tf.Encoder(JSON), []
+    whole = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: asked.append(text) or whole(text))
+    text = "Été, éCLAIR été naïve. ÀÉÎÕÜßÿ ªµº Thé, naïve, x. 漢字 ét, ŷz" + " ñ" * 3 + " " + "é" * 70 + ","
+    for _ in range(2):
+        assert [i for _, run, _ in encoder.runs([text]) for i in run.tolist()] == whole(text).tolist()
+    assert encoder.marked and set(asked[:2]) == {",", "."} and len(asked) == 3
+    assert all(len(w) <= tf.LONGEST for w in encoder.young)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from([*map(chr, range(0xA0, 0x180)), *"aZ .,'̸́"]), max_size=40))
+def test_words_of_latin_letters_give_the_whole_text(text):
+    encoder = globals().setdefault("_encoder", tf.Encoder(JSON))
+    assert [i for _, run, _ in encoder.runs([text]) for i in run.tolist()] == whole_ids(text)[:-1]

@@ -47,6 +47,8 @@ MAGIC, HEADER, TRAILER = b"TLBITS1\0", struct.Struct("<8sII"), struct.Struct("<Q
 BLOCK, END_ID, CACHED, LONGEST = 4096, 1, 200_000, 64
 #: Characters of text that are split into words at a time, and ids that are unpacked at a time.
 PART, RUN = 1 << 19, 1 << 20
+#: Widths that numpy has itself.
+WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 MANIFEST = "part int, file string, n_docs long, n_ids long"
 
 
@@ -57,11 +59,15 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """The lowest `bits` bits of each id, lowest first, one after the other."""
+    if bits in WHOLE:
+        return ids.astype(WHOLE[bits]).tobytes()
     return np.packbits(((ids[:, None] >> np.arange(bits, dtype=ids.dtype)) & 1).astype(np.uint8).reshape(-1), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     """The n ids (u32) in `data`."""
+    if bits in WHOLE:
+        return np.frombuffer(data, WHOLE[bits], n).astype("<u4")
     flat = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
     padded = np.zeros((n, 32), np.uint8)
     padded[:, :bits] = flat
@@ -189,6 +195,11 @@ class Encoder:
     MARK = "|"
     #: What may stand after a word's last letter and is split from it whatever follows: ASCII marks, but no apostrophe.
     TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+    #: The lower-case letters of Latin-1 beyond ASCII, and those of them that have a capital there.
+    MARKED = "".join(chr(c) for c in range(128, 256) if chr(c).isalpha() and chr(c).lower() == chr(c))
+    CAPITAL = "".join(c for c in MARKED if len(c.upper()) == 1 and "\x7f" < c.upper() <= "\xff")
+    #: A byte-level model has bytes as printable characters; the others stand after the 256, in order.
+    SHIFTED = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -202,50 +213,47 @@ class Encoder:
         # the model alone does for lower-case letters where nothing before it changes them
         letters = "".join(map(chr, range(97, 123)))
         self.by_words &= self._ids(letters).tolist() == [t.id for t in self.model.tokenize(letters)] == self._ids(letters.upper()).tolist() and self._ids(letters + ".").tolist() == [*self._ids(letters), *self._ids(".")]
+        # and for letters with marks, where it takes their bytes
+        self.marked = self.by_words and all(self._ids(a).tolist() == self._ids(b).tolist() == self._of_bytes(b) for a, b in ((self.MARKED, self.MARKED), (self.CAPITAL.upper(), self.CAPITAL)))
+        self.marked = self.marked and self._ids(self.MARKED + ".").tolist() == [*self._ids(self.MARKED), *self._ids(".")]
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that aren't known yet. Words of ASCII letters are put together from the lower-case word, which normalises to itself, and the marks behind."""
-        found, rest = {}, []
+    def _of_bytes(self, letters: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(letters.encode().decode("latin-1").translate(self.SHIFTED))]
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts the ids of words that aren't known yet to the young ones. Words of letters are put together from the lower-case word, which normalises to itself, and the marks behind."""
+        young, old, rest = self.young, self.old, []
         for w in words:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+                continue
             core = w.rstrip(self.TAIL)
-            if core.isascii() and core.isalpha():
-                low, tail = core.lower(), w[len(core) :]
-                ids = self._known(low)
-                if ids is None:
-                    ids = np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
-                    self._keep(low, ids)
-                if tail:
-                    of_tail = self._known(tail)
-                    if of_tail is None:
-                        of_tail = self._ids(tail).tobytes()
-                        self._keep(tail, of_tail)
-                    ids += of_tail
-                found[w] = ids
-            else:
+            plain = core.isascii()
+            if not core.isalpha() or not (plain or self.marked and max(core) <= "\xff"):
                 rest.append(w)
+                continue
+            low = core.lower()
+            if (ids := young.get(low)) is None:
+                if (ids := old.get(low)) is None:
+                    ids = array("I", [t.id for t in self.model.tokenize(low)] if plain else self._of_bytes(low)).tobytes()
+                young[low] = ids
+            if tail := w[len(core) :]:
+                if (of_tail := young.get(tail)) is None:
+                    young[tail] = of_tail = self._ids(tail).tobytes()
+                ids += of_tail
+            young[w] = ids
         plain = [w for w in rest if self.MARK not in w]
         if plain:
             ids = self._ids(f" {self.MARK} ".join(plain))
             cuts = np.flatnonzero(ids == self.mark)
             starts, stops, data = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)], ids.tobytes()
-            found |= {w: data[i:j] for w, i, j in zip(plain, starts, stops, strict=True)}
+            young.update((w, data[i:j]) for w, i, j in zip(plain, starts, stops, strict=True))
         for w in rest:
-            if w not in found:
-                found[w] = self._ids(w).tobytes()
-        return found
-
-    def _known(self, word: str) -> bytes | None:
-        ids = self.young.get(word)
-        if ids is None and (ids := self.old.get(word)) is not None:
-            self.young[word] = ids
-        return ids
-
-    def _keep(self, word: str, ids: bytes) -> None:
-        if len(word) <= LONGEST:
-            self.young[word] = ids
+            if w not in young:
+                young[w] = self._ids(w).tobytes()
 
     def runs(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, bool]]:
         """(text, some of its ids, whether they are its last), text after text; the texts' words are looked up about PART characters at a time."""
@@ -267,17 +275,19 @@ class Encoder:
         yield from self._looked_up(group)
 
     def _looked_up(self, group: list[tuple[int, list[str], bool]]) -> Iterator[tuple[int, np.ndarray, bool]]:
-        here = {w: self._known(w) for w in set().union(*(words for _, words, _ in group))}
-        new = [w for w, ids in here.items() if ids is None]
-        if new:
-            learnt = self._learn(new)
-            here |= learnt
-            for w, ids in learnt.items():
-                self._keep(w, ids)
+        new = set().union(*(words for _, words, _ in group)).difference(self.young)
+        self._learn(new)
+        of = self.young.__getitem__
+        for i, words, last in group:
+            yield i, np.frombuffer(b"".join(map(of, words)), "<u4"), last
+        # what is known stays as it is until the group is done
+        for w in new:
+            if len(w) > LONGEST:
+                for long in (w, w.rstrip(self.TAIL).lower(), w[len(w.rstrip(self.TAIL)) :]):
+                    if len(long) > LONGEST:
+                        self.young.pop(long, None)
         if len(self.young) > CACHED:
             self.young, self.old = {}, self.young
-        for i, words, last in group:
-            yield i, np.frombuffer(b"".join(map(here.__getitem__, words)), "<u4"), last
 
 
 #: A worker's encoder, kept from task to task.
