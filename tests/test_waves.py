@@ -131,3 +131,21 @@ def test_choose_and_read(spark, graph, net, reading):
         assert got[i].words == want, t
         assert {d.position for d in got[i].decisions} >= {p for p, (a, b) in enumerate(zip(t.split(), want, strict=True)) if a != b}
     assert got[98].words == [] and got[0].words[2] == "patient"
+
+
+def test_buckets_are_folded_by_several_tasks(spark, graph):
+    rows = [(f"k{i}", CORPUS[i % len(CORPUS)].split(), {}) for i in range(48)]
+    lines = spark.createDataFrame(rows, "key string, ws array<string>, offers map<int,array<string>>")
+    done = waves.choose_lines(graph, lines, per_bucket=4)
+    # parts of few bytes were put together, so that one task folded all buckets
+    assert len({r.part for r in done.select(F.spark_partition_id().alias("part")).collect()}) > 1
+    # no stated size of a bucket: 200 sentences were one bucket
+    texts = spark.createDataFrame([(f"k{i}", CORPUS[i % len(CORPUS)].split()) for i in range(200)], "key string, ws array<string>")
+    parts = []
+    side_by_side = waves._side_by_side
+    try:
+        waves._side_by_side = lambda buckets, *sides: parts.append(buckets) or side_by_side(buckets, *sides)
+        scores, _ = waves.score(graph, texts, g.soft_next(graph.next, graph.res))
+    finally:
+        waves._side_by_side = side_by_side
+    assert parts == [4] and scores.count() == 200
