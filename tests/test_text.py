@@ -108,3 +108,10 @@ def test_lcs_accuracy_takes_whole_turns(spark, tmp_path):
 
     spark.createDataFrame([(1, 0, "bb"), (1, 1, "aa " * (1 << 20) + "bb")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [tuple(r) for r in lcs_accuracy(spark, str(tmp_path)).collect()] == [(1, 1, (1 << 20) + 1, 1, 1)]
+
+
+def test_a_dose_is_put_right_once(spark):
+    """The plan holds the digits' repair once, not wherever its result is named."""
+    df = spark.createDataFrame([("5Omg",), (None,), ("mg",), ("l5,5ML",), ("x5mg",)], "t string").select(tx.dose(F.col("t")).alias("d"))
+    assert df._jdf.queryExecution().analyzed().toString().count("translate(") == 1
+    assert [r.d and tuple(r.d) for r in df.collect()] == [("50mg", 50.0, "mg", 1), None, None, ("15,5ml", 15.5, "ml", 1), None]
