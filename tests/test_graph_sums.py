@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import graph as g
@@ -16,3 +17,22 @@ def test_near_words_stand_both_ways_and_are_counted_once(spark):
     out = g.inhibition(freq, degree)
     assert "generate" not in out._jdf.queryExecution().toString().lower()  # the medians and the weights don't count the graph anew
     assert {r.w: (r.n, r.degree) for r in out.collect()} == {w: (n, len({b for a, b in want if a == w})) for w, n in Counter(w for ws in SENTS for w in ws).items()}
+
+
+def test_form_is_made_once_and_right(spark):
+    words = ["a", "b", "io", "strength", "banana", "aeiouaeiou", "x1y0a", "queueing", "rhythms", "abababab"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", g.form_vector(F.col("w")).alias("v"))
+    # the pattern stood in the plan for each number, and was made again for each place
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2 and plan.count("split(") <= 3
+    for r in df.collect():
+        w, n = r.w, len(r.w)
+        v = [int(c in "aeiou") for c in w]
+        s = [2 * x - 1 for x in v]
+        runs = lambda x: max(map(len, "".join(map(str, v)).split(str(1 - x)))) / n  # noqa: E731, B023
+        pairs = lambda *ps: sum((x, y) in ps for x, y in zip(v, v[1:], strict=False)) / (n - 1) if n > 1 else 0  # noqa: E731, B023
+        three = lambda t: sum(u == t for u in zip(v, v[1:], v[2:], strict=False)) / (n - 2) if n > 2 else 0  # noqa: E731, B023
+        mean, third = sum(s) / n, n // 3
+        ends = sum(s[2 * third :]) / len(s[2 * third :]) - sum(s[:third]) / third if n > 2 else 0
+        want = [pairs((0, 1), (1, 0)), runs(0), runs(1), s[0], s[-1], ends, sum(v) / n, (sum((x - mean) ** 2 for x in s) / n) ** 0.5, pairs((0, 1)), pairs((1, 0)), pairs((0, 0)), pairs((1, 1)), three((0, 1, 0)), three((1, 0, 1)), len(set(w)) / n, min(n / 15, 1)]
+        assert r.v == pytest.approx(want, abs=1e-9), w
