@@ -36,3 +36,16 @@ def test_form_is_made_once_and_right(spark):
         ends = sum(s[2 * third :]) / len(s[2 * third :]) - sum(s[:third]) / third if n > 2 else 0
         want = [pairs((0, 1), (1, 0)), runs(0), runs(1), s[0], s[-1], ends, sum(v) / n, (sum((x - mean) ** 2 for x in s) / n) ** 0.5, pairs((0, 1)), pairs((1, 0)), pairs((0, 0)), pairs((1, 1)), three((0, 1, 0)), three((1, 0, 1)), len(set(w)) / n, min(n / 15, 1)]
         assert r.v == pytest.approx(want, abs=1e-9), w
+
+
+def test_followers_are_counted_once(spark):
+    sents = [*SENTS, ["be", "to", "see", "to"], ["to", "x1"], ["to", "x2"], ["to", "x2"], ["q", "q", "q"]]
+    out = g.follow_sums(spark.createDataFrame([(i, 0, ws) for i, ws in enumerate(sents)], "doc_id long, sid int, ws array<string>"))
+    # the pairs were counted for each of four parts
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") + out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    n = Counter(p for ws in sents for p in zip(ws, ws[1:], strict=False))
+    for r in out.collect():
+        f, p = sorted((k for (a, _), k in n.items() if a == r.w), reverse=True), [k for (_, b), k in n.items() if b == r.w]
+        want = (sum(f), len(f), max(f, default=0), sum(f[:3]), sum(p), len(p), max(p, default=0), sum(a == r.w and (b, a) in n for a, b in n))
+        assert (r.ftot, r.fn, r.ftop, r.ftop3, r.ptot, r.pn, r.ptop, r.inter) == want, r.w
+    assert out.count() == len({w for p in n for w in p})

@@ -153,14 +153,7 @@ def graph_stats(spark, sf_dir):
 
 def expectation_vector(spark, sf_dir):
     """The eight numbers of what follows and precedes a word."""
-    nx = g.next_words(_sents(spark, sf_dir))
-
-    def side(src, dst, x):
-        r = nx.withColumn("rank", F.row_number().over(Window.partitionBy(src).orderBy(F.desc("n"), dst)))
-        return r.groupBy(F.col(src).alias("w")).agg(F.sum("n").alias(f"{x}tot"), F.count("*").alias(f"{x}n"), F.max("n").alias(f"{x}top"), F.sum(F.when(F.col("rank") <= 3, F.col("n"))).alias(f"{x}top3"))
-
-    shared = nx.select("a", "b").join(nx.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "inner").groupBy(F.col("a").alias("w")).agg(F.count("*").alias("inter"))
-    v = side("a", "b", "f").join(side("b", "a", "p"), "w", "full").join(shared, "w", "left").na.fill(0)
+    v = g.follow_sums(_sents(spark, sf_dir))
     e0, e2 = F.when(F.col("fn") > 0, F.col("ftop") / F.col("ftot")).otherwise(0.0), F.when(F.col("pn") > 0, F.col("ptop") / F.col("ptot")).otherwise(0.0)
     cols = [
         e0, F.least(F.col("fn") / 15, F.lit(1.0)), e2, F.least(F.col("pn") / 15, F.lit(1.0)), F.abs(e0 - e2), F.least((F.col("fn") + F.col("pn")) / 20, F.lit(1.0)),
