@@ -149,3 +149,20 @@ def test_buckets_are_folded_by_several_tasks(spark, graph):
     finally:
         waves._side_by_side = side_by_side
     assert parts == [4] and scores.count() == 200
+
+
+def test_links_are_looked_up_for_few_pairs(spark):
+    """Two words alone in a sentence, words seven apart, and words that are alone here and in company there."""
+    rows = [["lone", "pair"], ["lone", "some"], ["lone", "some", "more"], ["s1", "s2", "s3", "s4", "s5", "s6", "s7", "s8", "s9"], ["same", "same"], ["pair", "x1", "x2"]]
+    graph = waves.build(spark.createDataFrame([(i, 0, ws) for i, ws in enumerate(rows)], "doc_id long, sid int, ws array<string>"))
+    hop = waves.first_hop(graph).where("node <> w").cache()
+    pairs = lambda d: {(r.w, r.node) for r in d.collect()}
+    asked, linked = [], waves.linked
+    try:
+        waves.linked = lambda graph, p: asked.append(pairs(p)) or linked(graph, p)
+        got = pairs(waves.going_on(graph, hop))
+    finally:
+        waves.linked = linked
+    assert got == pairs(linked(graph, hop.select("w", "node"))) and ("lone", "some") in got and ("s1", "s8") not in got and ("s1", "s7") in got
+    # all pairs were looked up
+    assert asked == [{("lone", "pair"), ("pair", "lone"), ("lone", "some"), ("some", "lone"), ("s1", "s8"), ("s2", "s9")}]
