@@ -166,3 +166,13 @@ def test_links_are_looked_up_for_few_pairs(spark):
     assert got == pairs(linked(graph, hop.select("w", "node"))) and ("lone", "some") in got and ("s1", "s8") not in got and ("s1", "s7") in got
     # all pairs were looked up
     assert asked == [{("lone", "pair"), ("pair", "lone"), ("lone", "some"), ("some", "lone"), ("s1", "s8"), ("s2", "s9")}]
+
+
+@pytest.mark.parametrize("per_bucket", [4096, 5])
+def test_in_context_by_bucket(spark, graph, net, per_bucket):
+    words = ["doctor", "the", "syrup", "patient", "ward", "meal", "unheard"]
+    net.damp["unheard"] = 1.0
+    pairs = [(a, b) for a in words for b in words]
+    got = {(r.a, r.b): dict(zip(r.nodes, r.energies, strict=True)) for r in waves.in_context(graph, spark.createDataFrame(pairs, "a string, b string"), per_bucket).collect()}
+    same(got, {(a, b): net.wave(b, net.wave(a)) for a, b in pairs})
+    assert waves.in_context(graph, spark.createDataFrame([], "a string, b string")).count() == 0
