@@ -73,12 +73,15 @@ def occurrence_gaps(spark, sf_dir):
 
 def neighborhood_volatility(spark, sf_dir):
     """Per word: how much its neighbours change from one occurrence in a sentence of a document to the next there."""
-    s = _sents(spark, sf_dir)
+    # a document's sentences are dealt before each place is given its neighbours, so these aren't shuffled: the window finds its rows together
+    s = _sents(spark, sf_dir).repartition("doc_id")
     around = F.transform("ws", lambda x, i: F.struct(x.alias("w"), i.alias("pos"), F.array_distinct(F.concat(F.slice("ws", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), F.slice("ws", i + 2, F.lit(3)))).alias("near")))
     o = s.select("doc_id", "sid", F.explode(around).alias("x")).select("doc_id", "sid", "x.*")
     before = F.lag("near").over(Window.partitionBy("doc_id", "w").orderBy("sid", "pos"))
-    v = o.withColumn("before", before).where("before is not null").select("w", (1 - F.size(F.array_intersect("near", "before")) / F.size(F.array_union("near", "before"))).alias("v"))
-    return v.groupBy("w").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("volatility"))
+    both = F.size(F.array_union("near", "before"))
+    # in whole parts of which 27720 are one, as at most 12 words are on both sides: any order of the sum gives the same
+    v = o.withColumn("before", before).where("before is not null").select("w", ((both - F.size(F.array_intersect("near", "before"))) * 27720 / both).cast("long").alias("v"))
+    return v.groupBy("w").agg(F.count("*").alias("n"), F.round(F.sum("v") / (F.count("*") * 27720), 6).alias("volatility"))
 
 
 def sentence_shape(spark, sf_dir):
