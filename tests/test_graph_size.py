@@ -53,3 +53,9 @@ def test_pairs_are_counted_once_for_all_tables(spark, folder):
 def test_sizes_of_an_empty_graph(spark, tmp_path):
     spark.createDataFrame([(1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["name"]: r["value"] for r in q.graph_stats(spark, str(tmp_path)).collect()} == dict.fromkeys(("vocabulary", "mature", "bigrams", "transitions", "cooccurrences", "trajectories", "skip_grams", "resonance_pairs"), 0)
+
+
+def test_wave_activation_reads_written_tables(spark, folder):
+    """No sentence is taken apart again for each kind of edge: what was shuffled for one is gone before the next."""
+    df = q.wave_activation(spark, folder)
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == 8

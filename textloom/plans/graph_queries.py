@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import graph as g
-from textloom.operators import roles
+from textloom.operators import roles, waves
 from textloom.sources.storage import stored
 from textloom.sources.tables import table
 
@@ -173,9 +173,8 @@ def expectation_vector(spark, sf_dir):
 
 def wave_activation(spark, sf_dir):
     """What each word excites in one step: how many nodes, how much energy, and the strongest."""
-    s = _sents(spark, sf_dir)
-    nx, near = g.next_words(s), g.near_words(s)
-    a = g.activated(near, nx, g.batch_resonance(nx), g.skip_words(s), g.inhibition(*_freq_degree(spark, sf_dir)))
+    graph = waves.build(_sents(spark, sf_dir))
+    a = g.activated(graph.near, graph.next, graph.res, graph.skip(), graph.damping)
     return a.groupBy("w").agg(F.count("*").alias("n"), F.round(F.sum("energy"), 6).alias("energy"), F.round(F.max("energy"), 6).alias("strongest"))
 
 
